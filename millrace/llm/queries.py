@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import minhash, quality_rules
 from ._spark import ready, table
 
 
@@ -15,8 +15,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return minhash.classes(table(spark, sf_dir, "documents"), width=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_quality_rules": op5_quality_rules}
+    return {"op5_quality_rules": op5_quality_rules, "op6_minhash": op6_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
