@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, minhash, quality_rules
+from . import exact_dedup, minhash, packing, quality_rules, token_files
 from ._spark import ready, table
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return token_files.round_trip(table(spark, sf_dir, "documents"), end_id=2)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
@@ -25,6 +30,11 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents"), width=4)
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return packing.pack(table(spark, sf_dir, "documents"), end_id=1)
+
+
 OP3_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
@@ -34,8 +44,8 @@ FROM d JOIN g ON d.t = g.t
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_exact_dedup": op3_exact_dedup, "op5_quality_rules": op5_quality_rules, "op6_minhash": op6_minhash}
+    return {"op2_token_files": op2_token_files, "op3_exact_dedup": op3_exact_dedup, "op5_quality_rules": op5_quality_rules, "op6_minhash": op6_minhash, "op7_packing": op7_packing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL}
+    return {"op2_token_files": op2_token_files, "op3_exact_dedup": OP3_SQL}
