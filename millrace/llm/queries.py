@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, minhash, packing, quality_rules, token_files
+from . import exact_dedup, minhash, packing, quality_model, quality_rules, token_files, toxicity
 from ._spark import ready, table
 
 
+def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), bound=0.3)
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     return token_files.round_trip(table(spark, sf_dir, "documents"), end_id=2)
@@ -35,6 +40,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), end_id=1)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fixed=0.5)
+
+
 OP3_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
@@ -44,8 +54,8 @@ FROM d JOIN g ON d.t = g.t
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_token_files": op2_token_files, "op3_exact_dedup": op3_exact_dedup, "op5_quality_rules": op5_quality_rules, "op6_minhash": op6_minhash, "op7_packing": op7_packing}
+    return {"op1_quality_model": op1_quality_model, "op2_token_files": op2_token_files, "op3_exact_dedup": op3_exact_dedup, "op5_quality_rules": op5_quality_rules, "op6_minhash": op6_minhash, "op7_packing": op7_packing, "op8_toxicity": op8_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_token_files": op2_token_files, "op3_exact_dedup": OP3_SQL}
+    return {"op1_quality_model": op1_quality_model, "op2_token_files": op2_token_files, "op3_exact_dedup": OP3_SQL}

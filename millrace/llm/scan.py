@@ -17,6 +17,9 @@ _U = np.uint64
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes between the terms of a text: all of ASCII but letters, digits and the underscore.
+_GAP = np.zeros(256, bool)
+_GAP[:128] = [not (chr(x).isalnum() or x == 95) for x in range(128)]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -70,13 +73,13 @@ def slices(offsets: np.ndarray, size: int = SLICE) -> Iterator[tuple[int, int]]:
         first = min(last, n)
 
 
-def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(offsets: np.ndarray, data: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, first): byte ranges of all words; words of row i are first[i]:first[i + 1].
 
     offsets: of the rows of one slice; positions are relative to data.
     """
     low, high = int(offsets[0]), int(offsets[-1])
-    solid = ~_SPACE[data[low:high]]
+    solid = ~gap[data[low:high]]
     edge = np.ones(len(solid) + 1, bool)
     edge[1:-1] = solid[1:] != solid[:-1]
     inner = offsets[1:-1] - low
@@ -122,6 +125,11 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool =
 _PLACE = stream(13, 16) | _U(1)
 
 
+def terms(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As words(), for runs of letters and digits (every byte beyond ASCII is a letter here)."""
+    return words(offsets, data, _GAP)
+
+
 def windows(h: np.ndarray, width: int) -> np.ndarray:
     """Hash of each run of ``width`` consecutive word hashes (the caller drops runs that cross rows)."""
     n = max(0, len(h) - width + 1)
