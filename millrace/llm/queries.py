@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, minhash, packing, quality_model, quality_rules, token_files, toxicity
+from . import exact_dedup, html_text, minhash, packing, quality_model, quality_rules, token_files, toxicity
 from ._spark import ready, table
 
 
@@ -25,6 +25,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     return quality_rules.verdicts(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -54,7 +59,7 @@ FROM d JOIN g ON d.t = g.t
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_model": op1_quality_model, "op2_token_files": op2_token_files, "op3_exact_dedup": op3_exact_dedup, "op5_quality_rules": op5_quality_rules, "op6_minhash": op6_minhash, "op7_packing": op7_packing, "op8_toxicity": op8_toxicity}
+    return {"op1_quality_model": op1_quality_model, "op2_token_files": op2_token_files, "op3_exact_dedup": op3_exact_dedup, "op4_html_text": op4_html_text, "op5_quality_rules": op5_quality_rules, "op6_minhash": op6_minhash, "op7_packing": op7_packing, "op8_toxicity": op8_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
