@@ -161,3 +161,14 @@ def _unequal(docs: DataFrame, prints: DataFrame, total: int, primes, radix, huge
     compared = chunks.groupBy(*keys, "no").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high"))
     bad = compared.filter("low <> high").select(*keys).distinct()
     return staged(bad.join(many.select(*keys, "group_size"), keys), "split")
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """One row of each group of equal texts, all columns as they are: that with the largest doc_id."""
+    found = staged(groups(docs), "verdicts")
+    mine = found.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sum"), "kept")
+    rows = docs.withColumn("__sha", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+    out = rows.join(mine.filter("kept").drop("kept"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__sum")), "left_semi")
+    if found.count() > mine.select("__id", "__sum").distinct().count():  # rows that repeat both
+        out = out.dropDuplicates(["doc_id", "__sha"])
+    return out.select(*docs.columns)

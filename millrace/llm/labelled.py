@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from . import scan
 
 
 def held_out() -> Column:
@@ -21,3 +27,18 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, extra: tup
     picked = known.filter("y = 0").orderBy(*order).limit(most).unionByName(known.filter("y = 1").orderBy(*order).limit(most))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *extra)
     return rows.join(F.broadcast(picked), "doc_id")
+
+
+def with_score(docs: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(row, score): every row of docs as a struct, so that no column name can clash."""
+    kind = T.StructType([T.StructField("row", docs.schema), T.StructField("score", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                row = batch.column(0)
+                offsets, data = scan.buffers(row.field("text"))
+                for a, b in scan.slices(offsets):
+                    yield pa.RecordBatch.from_arrays([row.slice(a, b - a), pa.array(score(offsets[a : b + 1], data))], names=["row", "score"])
+
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).mapInArrow(run, kind)

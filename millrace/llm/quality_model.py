@@ -179,3 +179,8 @@ def classify(docs: DataFrame, labels: DataFrame, bound: float = 0.3, most: int =
     """(doc_id, held_out, score, predicted) of every document."""
     out = scored(docs, train(docs, labels, most=most))
     return out.select("doc_id", labelled.held_out().alias("held_out"), "score", (F.col("score") >= bound).cast("int").alias("predicted"))
+
+
+def keep(docs: DataFrame, model: Trees, bound: float = 0.3) -> DataFrame:
+    """The rows of docs, all columns as they are, whose score reaches the bound."""
+    return labelled.with_score(docs, lambda offsets, data: model.score(statistics(offsets, data))).filter(F.col("score") >= bound).select("row.*")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_text, minhash, packing, quality_model, quality_rules, token_files, toxicity
+from . import exact_dedup, html_text, language, merge_dropout, minhash, packing, quality_model, quality_rules, token_files, toxicity
 from ._spark import ready, table
 
 
@@ -50,6 +50,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fixed=0.5)
 
 
+def op9_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return merge_dropout.encode(table(spark, sf_dir, "documents"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return language.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 OP3_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
@@ -59,7 +69,7 @@ FROM d JOIN g ON d.t = g.t
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_model": op1_quality_model, "op2_token_files": op2_token_files, "op3_exact_dedup": op3_exact_dedup, "op4_html_text": op4_html_text, "op5_quality_rules": op5_quality_rules, "op6_minhash": op6_minhash, "op7_packing": op7_packing, "op8_toxicity": op8_toxicity}
+    return {"op1_quality_model": op1_quality_model, "op2_token_files": op2_token_files, "op3_exact_dedup": op3_exact_dedup, "op4_html_text": op4_html_text, "op5_quality_rules": op5_quality_rules, "op6_minhash": op6_minhash, "op7_packing": op7_packing, "op8_toxicity": op8_toxicity, "op9_merge_dropout": op9_merge_dropout, "op10_language": op10_language}
 
 
 def oracle_sql() -> dict[str, str]:

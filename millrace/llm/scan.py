@@ -22,6 +22,8 @@ _GAP = np.zeros(256, bool)
 _GAP[:128] = [not (chr(x).isalnum() or x == 95) for x in range(128)]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Lower-case letters as they are, all other ASCII as a space.
+LOWERED = np.where(_GAP | (np.arange(256) == 95) | ((np.arange(256) >= 48) & (np.arange(256) < 58)), 32, _LOWER).astype(np.uint8)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
