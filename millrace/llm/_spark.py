@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -47,11 +48,27 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends, lost executors cost nothing."""
-    path = new_folder(df.sparkSession, name)
+#: Rows of a staged file of narrow rows.
+FILE_ROWS = 200_000
+
+
+def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends, lost executors cost nothing.
+
+    rows: about how many narrow rows come, where that is known: then files of FILE_ROWS rows are
+    written, two for each core at least, and not one for every partition of the last shuffle.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, rows // FILE_ROWS))
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def opened(path: str):
+    """(file system, path) of a URI or a plain path; executors reach the store through its own client."""
+    return pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

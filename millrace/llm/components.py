@@ -17,14 +17,14 @@ def _nearest(edges: DataFrame, total: int) -> DataFrame:
     return join_groups(edges, least, ["u"], ["m"], total, F.xxhash64("v"))
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", rows: int | None = None) -> DataFrame:
     """(node, component) for every node of a link but the smallest of its component.
 
     component is the smallest node reachable. Self links and repeated links change nothing; no links
-    give an empty table; a null end is no link.
+    give an empty table; a null end is no link. rows: about how many links come, if known.
     """
     edges = links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    edges, state = staged(edges, "edges"), None
+    edges, state = staged(edges, "edges", rows), None
     while True:
         n, mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if n == 0 or (n, mark) == state:
@@ -34,4 +34,4 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = _nearest(both, 2 * n).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         near = _nearest(large, n)
         small = near.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v"))).distinct()
-        edges = staged(small, "edges")
+        edges = staged(small, "edges", n)

@@ -3,7 +3,8 @@
 Per document: the set of distinct shingles, PERMUTATIONS minima, their low B bits packed into bit
 planes, and one key per band. Documents with equal sets form a class first, so copies are never
 paired. Within a band bucket a few hubs a round are compared with all members; the similarity is
-estimated from bit counts, corrected for chance collisions, and survivors are confirmed on full sets.
+estimated from bit counts, corrected for chance collisions, and survivors are confirmed on full sets,
+the likeliest first.
 A hub leaves its bucket only after all members were compared with it, and a bucket is done only when
 all its members lie in one component: no link between candidates is lost and no pairs of a bucket
 are listed.
@@ -16,6 +17,8 @@ columns; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,40 +26,47 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import bloom, scan
-from ._spark import join_groups, staged
+from ._spark import join_groups, new_folder, opened, staged
 from .components import components
 
 BANDS, ROWS, B = 32, 5, 2
-PERMUTATIONS = BANDS * ROWS
-PLANE = 128  # minima whose low bits are kept: two planes of two longs
-#: Pairs whose estimate lies this much below the threshold are not confirmed: over five standard
-#: deviations of the estimate at the threshold, sqrt(C (1 - C) / 128) / (1 - 2 ** -B).
-MARGIN = 0.22
+PERMUTATIONS = 192  # the bands' and more for the estimate
+SIGNATURE = [f"s{j}" for j in range(B * PERMUTATIONS // 64)]  # B planes of one bit a minimum
+#: Pairs whose estimate lies this much below the threshold are not confirmed: over 4.5 standard
+#: deviations of the estimate at the threshold, sqrt(C (1 - C) / PERMUTATIONS) / (1 - 2 ** -B).
+MARGIN = 0.16
+#: So few candidates are confirmed at once.
+FEW = 20_000
 
 _SEEDS = scan.stream(101, 2 * PERMUTATIONS)
 _A = (_SEEDS[:PERMUTATIONS] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _C = (_SEEDS[PERMUTATIONS:] >> np.uint64(32)).astype(np.uint32)
 
 
-def minima(x: np.ndarray) -> np.ndarray:
-    """The PERMUTATIONS minima of one set of 64-bit hashes."""
+def minima(x: np.ndarray, a: np.ndarray = _A, c: np.ndarray = _C) -> np.ndarray:
+    """The minima of one set of 64-bit hashes, one for each (a, c)."""
     y = (x >> np.uint64(32)).astype(np.uint32)
-    out = np.full(PERMUTATIONS, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(y), 2048):
-        np.minimum(out, (_A[:, None] * y[None, at : at + 2048] + _C[:, None]).min(axis=1), out=out)
+    out = np.full(len(a), 0xFFFFFFFF, np.uint32)
+    step = max(64, (1 << 19) // len(a))
+    for at in range(0, len(y), step):
+        np.minimum(out, (a[:, None] * y[None, at : at + step] + c[:, None]).min(axis=1), out=out)
     return out
 
 
+def _mixed(minimum: np.ndarray) -> np.ndarray:
+    return scan.mix(minimum.astype(np.uint64) + np.arange(PERMUTATIONS, dtype=np.uint64)[None, :] * np.uint64(1 << 32))
+
+
 def packed(minimum: np.ndarray) -> np.ndarray:
-    """Low B = 2 bits of the first PLANE minima of each row, as planes: (rows, 4) int64."""
-    m = scan.mix(minimum[:, :PLANE].astype(np.uint64) + np.arange(PLANE, dtype=np.uint64)[None, :] * np.uint64(1 << 32))
+    """Low B bits of the mixed minima of each row, as planes: (rows, 6) int64."""
+    m = _mixed(minimum)
     planes = [np.packbits(((m >> np.uint64(j)) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64) for j in range(B)]
     return np.concatenate(planes, axis=1)
 
 
 def band_keys(minimum: np.ndarray) -> np.ndarray:
     """One 64-bit key per band and row."""
-    m = scan.mix(minimum.astype(np.uint64) + np.arange(PERMUTATIONS, dtype=np.uint64)[None, :] * np.uint64(1 << 32))
+    m = _mixed(minimum)[:, : BANDS * ROWS]
     return scan.mix(m.reshape(len(m), BANDS, ROWS).sum(axis=2, dtype=np.uint64) ^ scan.stream(55, BANDS)[None, :]).view(np.int64)
 
 
@@ -67,7 +77,7 @@ def _sets(batch: pa.RecordBatch, text: str, width: int) -> Iterator[tuple[int, i
         yield a, b, scan.shingle_sets(scan.hashes(data, starts, ends), first, width)
 
 
-_SIGNED = "doc_id long, n_shingles long, k1 long, k2 long, s0 long, s1 long, s2 long, s3 long, bands array<long>"
+_SIGNED = "doc_id long, n_shingles long, k1 long, k2 long, " + "".join(f"{x} long, " for x in SIGNATURE) + "bands array<long>"
 
 
 def signer(width: int):
@@ -80,38 +90,111 @@ def signer(width: int):
                     keys = np.array([[scan.mix(x).sum(dtype=np.uint64), scan.mix(x ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)] for x in sets], np.uint64).view(np.int64)
                     sig, bands = packed(mins), band_keys(mins)
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
-                    yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")).slice(a, b - a), pa.array(n), pa.array(keys[:, 0]), pa.array(keys[:, 1]), *[pa.array(np.ascontiguousarray(sig[:, j])) for j in range(4)], lists], names=["doc_id", "n_shingles", "k1", "k2", "s0", "s1", "s2", "s3", "bands"])
+                    yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")).slice(a, b - a), pa.array(n), pa.array(keys[:, 0]), pa.array(keys[:, 1]), *[pa.array(np.ascontiguousarray(sig[:, j])) for j in range(len(SIGNATURE))], lists], names=["doc_id", "n_shingles", "k1", "k2", *SIGNATURE, "bands"])
+
+    return run
+
+
+#: Minima of the finer signature, one low bit each, that candidates of later rounds must pass.
+FINE = 2048
+FINE_SIGNATURE = [f"f{j}" for j in range(FINE // 64)]
+FINE_MARGIN = 0.06  # over 4.5 standard deviations, sqrt(C (1 - C) / FINE) / (1 - 1 / 2)
+_FINE_SEEDS = scan.stream(202, 2 * FINE)
+_FA = (_FINE_SEEDS[:FINE] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_FC = (_FINE_SEEDS[FINE:] >> np.uint64(32)).astype(np.uint32)
+_PLACE = "rep long, path string, at long, size long, "
+_SET_ROW = pa.schema([("rep", pa.int64()), ("path", pa.string()), ("at", pa.int64()), ("size", pa.int64()), *[(x, pa.int64()) for x in FINE_SIGNATURE]])
+
+
+def _fine(x: np.ndarray) -> np.ndarray:
+    """FINE low bits of one set's minima, packed into longs."""
+    m = minima(x, _FA, _FC).astype(np.uint64) + np.arange(FINE, dtype=np.uint64) * np.uint64(1 << 32)
+    return np.packbits((scan.mix(m) & np.uint64(1)).astype(np.uint8)).view(np.int64)
+
+
+def storer(width: int, words, folder: str):
+    """Write the full sets of the documents that the Bloom filter lets through to a file of this
+    task's attempt in the shared folder; a row for each tells where it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, out, path, at = words.value, None, "", 0
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                batch = batch.filter(pa.array(bloom.test(bits, batch.column(0).to_numpy(zero_copy_only=False))))
+                for a, b, sets in _sets(batch, "text", width):
+                    if out is None:
+                        path = f"{folder}/sets-{uuid.uuid4().hex}"
+                        files, name = opened(path)
+                        files.create_dir(name.rpartition("/")[0], recursive=True)
+                        out = files.open_output_stream(name)
+                    rows = {"rep": batch.column(0).slice(a, b - a).to_pylist(), "path": [path] * (b - a), "at": [], "size": [len(x) for x in sets]}
+                    for x in sets:
+                        rows["at"].append(at)
+                        out.write(x.tobytes())
+                        at += 8 * len(x)
+                    fine = np.stack([_fine(x) for x in sets])
+                    rows |= {f: fine[:, j] for j, f in enumerate(FINE_SIGNATURE)}
+                    yield pa.RecordBatch.from_pydict(rows, schema=_SET_ROW)
+        if out is not None:
+            out.close()
 
     return run
 
 
-def setter(width: int, words):
-    """Full shingle sets of the documents that the Bloom filter lets through."""
+#: Bytes of sets that a worker keeps while it confirms pairs.
+HELD = 32 << 20
+
+
+def confirmer(percent: int):
+    """Adds ``linked``: the exact test on full sets, read from their files; recent sets are kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = words.value
+        held: OrderedDict[tuple[str, int], np.ndarray] = OrderedDict()
+        files, total = {}, 0
+
+        def get(path: str, at: int, size: int) -> np.ndarray:
+            nonlocal total
+            if (path, at) in held:
+                held.move_to_end((path, at))
+                return held[path, at]
+            if path not in files:
+                store, name = opened(path)
+                files[path] = store.open_input_file(name)
+            x = np.frombuffer(files[path].read_at(8 * size, at), np.uint64)
+            held[path, at] = x
+            total += 8 * size
+            while total > HELD and len(held) > 1:
+                total -= 8 * len(held.popitem(last=False)[1])
+            return x
+
         for batch in batches:
-            batch = batch.filter(pa.array(bloom.test(bits, batch.column(0).to_numpy(zero_copy_only=False))))
-            for a, b, sets in _sets(batch, "text", width):
-                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["doc_id", "shingles"])
+            ends = [batch.column(batch.schema.get_field_index(f"{e}_{c}")).to_pylist() for e in "ab" for c in ("path", "at", "size")]
+            linked = []
+            for k in range(len(batch)):
+                x, y = get(*[c[k] for c in ends[:3]]), get(*[c[k] for c in ends[3:]])
+                if len(x) > len(y):
+                    x, y = y, x
+                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                linked.append(100 * common >= percent * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "ca", "cb")], pa.array(linked, pa.bool_())], names=["a", "b", "ca", "cb", "linked"])
+        for f in files.values():
+            f.close()
 
     return run
 
 
-def estimate(a: str, b: str) -> Column:
-    """Collision-corrected similarity of two packed signatures with column prefixes a and b."""
-    parts = []
-    for half in (0, 1):
-        differ = F.lit(0)
-        for plane in range(B):
-            c = f"s{2 * plane + half}"
+def estimate(a: str, b: str, signature: list[str], bits: int) -> Column:
+    """Collision-corrected similarity of two packed signatures (column prefixes a and b), from bit counts."""
+    each = len(signature) // bits
+    differ = F.lit(0)
+    for j in range(each):
+        any_bit = None
+        for plane in range(bits):
+            c = signature[plane * each + j]
             x = F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))
-            differ = x if plane == 0 else differ.bitwiseOR(x)
-        parts.append(F.bit_count(differ))
-    agree = 1 - (parts[0] + parts[1]) / F.lit(PLANE)
-    return (agree - 2.0**-B) / (1 - 2.0**-B)
+            any_bit = x if any_bit is None else any_bit.bitwiseOR(x)
+        differ += F.bit_count(any_bit)
+    return (1 - differ / F.lit(64 * each) - 2.0**-bits) / (1 - 2.0**-bits)
 
 
 def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -127,59 +210,91 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     n_docs = signed.count()
     full = signed.filter("n_shingles > 0")
     groups = staged(full.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("group_size")), "groups")
-    sigs = [f"s{j}" for j in range(4)]
-    reps = staged(groups.select(F.col("rep").alias("doc_id"), *keys).join(signed, ["doc_id", *keys]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), *sigs, "bands"), "reps")
-    links = _links(spark, texts, reps, width, percent)
-    roots = components(links, "hub", "rep").select(F.col("node").alias("rep"), "component")
+    reps = staged(groups.select(F.col("rep").alias("doc_id"), *keys).join(signed, ["doc_id", *keys]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), *SIGNATURE, "bands"), "reps")
+    roots = _links(spark, texts, reps, width, percent)
     groups = groups.join(roots, "rep", "left").select(*keys, F.coalesce("component", "rep").alias("component_id"), "group_size")
     out = join_groups(signed.select("doc_id", *keys), groups, keys, ["component_id"], n_docs, F.xxhash64("doc_id"))
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def keep(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each class, all columns as they are: that with the smallest doc_id."""
+    gone = classes(docs, width, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("__id"))
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+
+
 def _links(spark, texts: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
-    """Confirmed links (hub, rep) that join every pair of candidates over the threshold into one component."""
-    sigs = [f"s{j}" for j in range(4)]
-    light = reps.select("rep", "n", *sigs)
+    """(rep, component) of all representatives that share a bucket: the components of all confirmed links.
+
+    A round compares a few hubs of each unfinished bucket with its members; candidates over the
+    estimate wait in a pool. From the pool the most similar pairs of each component are confirmed
+    first, 1, then 32, then 1024 at a time; pairs whose ends a confirmed link has joined meanwhile need
+    no test. Round and pool go on until nothing is left, so every candidate is decided.
+    """
+    signed, signature, bits, margin = reps.select("rep", "n", *SIGNATURE), SIGNATURE, B, MARGIN
     total = reps.count() * BANDS
     members = reps.select("rep", F.explode("bands").alias("band")).withColumn("component", F.col("rep"))
-    links, failed, hubs_each = None, None, 1
+    found, sets, failed, hubs_each = None, None, None, 1
     while True:
         state = members.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("group_size")).filter("lo < hi").withColumn("open", F.lit(True))
-        members = staged(join_groups(members, state, ["band"], ["open"], total, F.xxhash64("rep"), "inner").drop("open"), "members")
+        members = staged(join_groups(members, state, ["band"], ["open"], total, F.xxhash64("rep"), "inner").drop("open"), "members", total)
         total = members.count()
+        if found is None:
+            found = staged(members.select("rep", "component").distinct(), "components", total)
         if not total:
-            break
-        hubs = staged(members.groupBy("band", F.pmod(F.xxhash64("rep"), F.lit(hubs_each)).alias("j")).agg(F.min("rep").alias("hub")).select("band", "hub"), "hubs")
-        hub_side = hubs.join(light.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n"), *sigs), "hub").join(members.select("band", F.col("rep").alias("hub"), F.col("component").alias("hub_component")), ["band", "hub"]).alias("h")
-        member_side = members.join(light, "rep").alias("m")
-        smaller, larger = F.least("h.hub_n", "m.n"), F.greatest("h.hub_n", "m.n")
-        near = (F.col("h.band") == F.col("m.band")) & (F.col("h.hub_component") != F.col("m.component")) & (100 * smaller >= percent * larger) & (estimate("h", "m") >= percent / 100 - MARGIN)
-        pairs = hub_side.join(member_side, near).select(F.least("h.hub", "m.rep").alias("hub"), F.greatest("h.hub", "m.rep").alias("rep")).distinct()
+            return found
+        if sets is None:
+            sets = _stored(spark, texts, found.select("rep"), width)
+        sizes = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("rep"))
+        hubs = sizes.groupBy("band", F.pmod(F.xxhash64("component"), F.lit(hubs_each)).alias("cell")).agg(F.min(F.struct("c", "rep", "component")).alias("hub"))
+        hubs = staged(hubs.select("band", F.col("hub.rep").alias("hub"), F.col("hub.component").alias("hub_component")), "hubs", total)
+        hub_side = hubs.join(signed.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n"), *signature), "hub").alias("h")
+        member_side = members.join(signed, "rep").alias("m")
+        sized = 100 * F.least("h.hub_n", "m.n") >= percent * F.greatest("h.hub_n", "m.n")
+        guess = estimate("h", "m", signature, bits)
+        near = (F.col("h.band") == F.col("m.band")) & (F.col("h.hub_component") != F.col("m.component")) & sized & (guess >= percent / 100 - margin)
+        pool = hub_side.join(member_side, near).select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"), F.when(F.col("hub") < F.col("rep"), F.col("hub_component")).otherwise(F.col("component")).alias("ca"), F.when(F.col("hub") < F.col("rep"), F.col("component")).otherwise(F.col("hub_component")).alias("cb"), guess.alias("guess")).dropDuplicates(["a", "b"])
         if failed is not None:
-            pairs = pairs.join(failed, ["hub", "rep"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        tested = _confirmed(spark, texts, pairs, width, percent)
-        good = tested.filter("linked").select("hub", "rep")
-        bad = tested.filter("not linked").select("hub", "rep")
-        links, failed = (good, bad) if links is None else (links.unionByName(good), failed.unionByName(bad))
-        # hubs have met all members of their bucket and leave; components move on
+            pool = pool.join(failed, ["a", "b"], "left_anti")
+        pool, picked = staged(pool, "pool", total), 1
+        while waiting := pool.count():
+            if waiting <= FEW:
+                picked = waiting  # one job is cheaper than the tests it may save
+            best = F.max(F.struct("guess", "a", "b", "ca", "cb")).alias("best")
+            cell = F.pmod(F.xxhash64("a", "b"), F.lit(picked)).alias("cell")
+            pick = pool
+            if picked < waiting:
+                pick = pool.groupBy("ca", cell).agg(best).select("best.*").unionByName(pool.groupBy("cb", cell).agg(best).select("best.*")).dropDuplicates(["a", "b"])
+            tested = _confirmed(sets, pick.drop("guess"), percent, waiting)
+            moved = components(tested.filter("linked"), "ca", "cb", waiting)
+            found = staged(_moved(found, moved, "component"), "components", total)
+            bad = tested.filter("not linked").select("a", "b")
+            failed = bad if failed is None else failed.unionByName(bad)
+            pool = _moved(_moved(pool.join(tested.select("a", "b"), ["a", "b"], "left_anti"), moved, "ca"), moved, "cb")
+            pool, picked = staged(pool.filter("ca <> cb"), "pool", waiting), picked * 32
+        # the hubs have met all members of their buckets and leave them
         rest = members.join(hubs.select("band", F.col("hub").alias("rep")), ["band", "rep"], "left_anti").select("rep", "band")
-        # a removed hub still counts for its bucket's components through the links of others
-        roots = staged(components(links, "hub", "rep"), "roots")
-        members = rest.join(roots.select(F.col("node").alias("rep"), F.col("component").alias("root")), "rep", "left").select("rep", "band", F.coalesce("root", "rep").alias("component"))
+        members = rest.join(found, "rep")
         hubs_each *= 8
-    return links if links is not None else reps.select(F.col("rep").alias("hub"), "rep").limit(0)
-
-
-def _confirmed(spark, texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """pairs with linked: the exact test on full sets, read again for the documents in question only."""
-    ends = pairs.select(F.explode(F.array("hub", "rep")).alias("doc_id")).distinct()
-    n = ends.count()
-    words = spark.sparkContext.broadcast(bloom.build(ends, "doc_id", n))
-    sets = texts.mapInArrow(setter(width, words), "doc_id long, shingles array<long>").join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = staged(sets, "sets")
-    a = pairs.join(sets.select(F.col("doc_id").alias("rep"), F.col("shingles").alias("x")), "rep")
-    b = a.join(sets.select(F.col("doc_id").alias("hub"), F.col("shingles").alias("y")), "hub")
-    common = F.size(F.array_intersect("x", "y"))
-    return staged(b.select("hub", "rep", (100 * common >= percent * (F.size("x") + F.size("y") - common)).alias("linked")), "tested")
+        signed, signature, bits, margin = sets.withColumnRenamed("size", "n"), FINE_SIGNATURE, 1, FINE_MARGIN
+
+
+def _moved(rows: DataFrame, moved: DataFrame, column: str) -> DataFrame:
+    """rows with the column's components replaced by those that they joined."""
+    return rows.join(moved.select(F.col("node").alias(column), F.col("component").alias("__to")), column, "left").withColumn(column, F.coalesce("__to", column)).drop("__to").select(*rows.columns)
+
+
+def _stored(spark, texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """Where the full sets of the wanted documents lie, with fine signatures, from a second reading."""
+    words = spark.sparkContext.broadcast(bloom.build(wanted, "rep", wanted.count()))
+    rows = texts.mapInArrow(storer(width, words, new_folder(spark, "sets")), _PLACE + ", ".join(f"{x} long" for x in FINE_SIGNATURE))
+    return staged(rows.dropDuplicates(["rep"]), "sets")
+
+
+def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int, rows: int) -> DataFrame:
+    """pairs with linked."""
+    for end in "ab":
+        place = sets.select(F.col("rep").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in ("path", "at", "size")])
+        pairs = pairs.join(place, end)
+    return staged(pairs.mapInArrow(confirmer(percent), "a long, b long, ca long, cb long, linked boolean"), "tested", rows)

@@ -24,13 +24,12 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.fs
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import scan, tokens
-from ._spark import new_folder
+from ._spark import new_folder, opened
 
 FRAME = 1 << 18
 LEVEL = 1
@@ -125,11 +124,6 @@ class Reader:
         return b"".join(out)
 
 
-def _opened(path: str):
-    """(file system, path) of a URI or a plain path; executors write through the store's own client."""
-    return pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)
-
-
 _ROW = pa.schema([("path", pa.string()), ("lowest", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("part", pa.int32())])
 _MANIFEST = "path string, lowest long, n_docs long, n_tokens long, part int"
 
@@ -153,7 +147,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, partitions:
                     if writer is None:
                         part = batch.column(2)[0].as_py()
                         path = f"{folder}/ids-{part:06d}-{uuid.uuid4().hex[:12]}.zst"
-                        files, at = _opened(path)
+                        files, at = opened(path)
                         files.create_dir(at.rpartition("/")[0], recursive=True)
                         out = files.open_output_stream(at, compression=None)
                         writer, lowest = Writer(out), doc_id
@@ -184,7 +178,7 @@ def read(spark: SparkSession, manifest: Iterable, ids: bool = False) -> DataFram
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, base in zip(frame["path"], frame["base"], strict=True):
-                store, at = _opened(path)
+                store, at = opened(path)
                 with store.open_input_file(at) as src:
                     reader = Reader(src, src.size())
                     for low in range(0, len(reader.docs), 2000):
