@@ -28,7 +28,7 @@ from ._spark import staged
 
 CAPACITY = 2048
 #: Pieces a cell aims at; a cell is the unit in which ranks are counted.
-CELL = 50_000
+CELL = 10_000
 
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
