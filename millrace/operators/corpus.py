@@ -16,8 +16,8 @@ KEEP_DAYS, MOST_ROWS = 180, 50_000
 
 def passages(pages: DataFrame, model: str = "default") -> DataFrame:
     """(id, url, model, i, title, text) of every passage of pages (url, title, text)."""
-    cut = pages.select("url", F.coalesce("title", F.lit("")).alias("title"), F.posexplode(text.passages(F.col("text"), F.col("title"))).alias("i", "text"))
-    return cut.select(scores.passage_id(F.col("url"), F.lit(model), F.col("i")).alias("id"), "url", F.lit(model).alias("model"), "i", "title", "text")
+    cut = pages.select("url", "title", text.passages(F.col("text"), F.col("title")).alias("__all")).select("url", "title", F.posexplode("__all").alias("i", "text"))
+    return cut.select(scores.passage_id(F.col("url"), F.lit(model), F.col("i")).alias("id"), "url", F.lit(model).alias("model"), "i", text.text_of(F.col("title")).alias("title"), "text")
 
 
 def unstored(found: DataFrame, corpus: DataFrame) -> DataFrame:
