@@ -59,8 +59,9 @@ def measures(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
     """keep + n_words and the counts that the rules compare, one row per document."""
     body = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(TRIM))
     none = F.array().cast("array<string>")
-    a = docs.select(*keep, body.alias("body"))
-    a = a.select(*keep, "body", F.when(F.col("body") == "", none).otherwise(F.split("body", SPACE)).alias("w"), F.when(F.col("body") == "", none).otherwise(F.filter(F.split("body", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).alias("lines"))
+    a = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("whole"), body.alias("body"))
+    # lines keep the white space around them: two lines are equal only character by character
+    a = a.select(*keep, "body", F.when(F.col("body") == "", none).otherwise(F.split("body", SPACE)).alias("w"), F.filter(F.split("whole", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
     n = F.size("w")
     w, lines = F.col("w"), F.col("lines")
 
