@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -123,10 +125,6 @@ def packed(vectors: Column) -> Column:
 
 def unpacked(value: DataFrame, column: str) -> DataFrame:
     """vec from stored bytes (little-endian float32) or JSON text; null where neither reads."""
-    import json
-
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def read(raw: pd.Series) -> pd.Series:
         def one(x):

@@ -72,7 +72,7 @@ def sweep_queries(queries: DataFrame, domains: list[str], most: int = 4) -> Data
     if not domains:
         return queries.select("query_id", "query", F.lit("").alias("domain")).limit(0)
     order = sorted({x.lower() for x in domains})
-    offset = F.pmod(F.crc32("query").cast("int"), F.lit(len(order)))
+    offset = F.pmod(F.crc32("query"), F.lit(len(order))).cast("int")
     names = F.array(*[F.lit(x) for x in order * 2])
     rows = queries.withColumn("__d", F.slice(names, offset + 1, F.lit(min(most, len(order)))))
     return rows.select("query_id", F.explode("__d").alias("domain"), "query").withColumn("query", F.concat(F.lit("site:"), F.col("domain"), F.lit(" "), F.col("query")))

@@ -9,8 +9,9 @@ ENGINE = "engine string, at timestamp, reason string, fails long"
 
 
 def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    rows = spark.read.schema(schema + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return rows.filter(F.col("_bad").isNull()).drop("_bad")
+    parsed = F.from_json("value", schema + ", _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    rows = spark.read.text(path).select(parsed.alias("r")).filter(F.col("r._bad").isNull())
+    return rows.select("r.*").drop("_bad")
 
 
 def write(record: DataFrame, path: str) -> None:
