@@ -174,8 +174,8 @@ def identify(pages: DataFrame, docs: DataFrame, most: int = MOST) -> DataFrame:
     # own counts leave the host's before smoothing
     prior = [(F.col("mass")[k] - F.col("p")[k] + HOST_WEIGHT * F.col("above")[k]) / (F.col("size") - 1 + HOST_WEIGHT) for k in each]
     told = F.lit(None).cast("array<double>")
-    for k, kind in enumerate(kinds):
-        told = F.when(F.col("declared") == kind, F.array(*[F.lit(float(np.log(x))) for x in likely[k]])).otherwise(told)
+    for k, kind in enumerate(kinds):  # no declaration is no evidence
+        told = F.when(F.col("declared") == kind, F.array(*[F.lit(float(np.log(x)) if kind else 0.0) for x in likely[k]])).otherwise(told)
     logits = F.array(*[F.col("text")[k] + F.col("told")[k] + F.log(F.greatest(prior[k], F.lit(1e-12))) for k in each])
     rows = rows.withColumn("told", told).withColumn("logits", logits).withColumn("post", _softmax(F.col("logits")))
     names = F.array(*[F.lit(x) for x in langs])
