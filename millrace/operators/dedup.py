@@ -72,3 +72,9 @@ def unknown_titles(rows: DataFrame, pool: DataFrame, most: int = 3) -> DataFrame
     fresh = rows.withColumn("__title", text.title_key(F.col("title"))).filter(F.col("__title") != "").join(known, ["query_id", "__title"], "left_anti")
     first = fresh.withColumn("__n", F.row_number().over(Window.partitionBy("query_id", "__title").orderBy("input_pos"))).filter("__n = 1")
     return first.withColumn("__n", F.row_number().over(Window.partitionBy("query_id").orderBy("input_pos"))).filter(F.col("__n") <= most).drop("__n", "__title")
+
+
+def cut_by_size(rows: DataFrame, group: str, position: str, column: str, limit: int) -> DataFrame:
+    """Rows of a group in order until their text has reached the limit; the row that reaches it stays."""
+    before = F.sum(F.length(column)).over(Window.partitionBy(group).orderBy(position).rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("__before", F.coalesce(before, F.lit(0))).filter(F.col("__before") < limit).drop("__before")

@@ -62,6 +62,17 @@ class Ladder:
         return {"url": url, "ok": True, "text": prose, "tier": tier, "extractor": by, "chars": len(prose), "reason": reason, "html": html}
 
 
+def render_mode(value: bool | str | None) -> str:
+    """auto, never or first, from the spellings that callers use."""
+    if value is None or value is True or value == "auto":
+        return "auto"
+    if value is False or value == "never":
+        return "never"
+    if value in ("first", "always"):
+        return "first"
+    raise ValueError(f"unknown render mode {value!r}")
+
+
 def live(requests: DataFrame, ladder: Ladder) -> DataFrame:
     """RESULT rows of the ladder for (url)."""
 

@@ -247,5 +247,15 @@ def test_report(spark):
     assert r.mrr == 0.625 and r.acc1 == 0.5
 
 
-def test_dedup_by_text_key_is_not_needed(spark):
+def test_small_pieces(spark):
+    import pytest
+
     assert spark.range(1).select(text.title_key(F.lit("Home"))).first()[0] == "home"
+    rows = spark.createDataFrame([(1, k, "x" * 10) for k in range(5)], "g int, pos int, t string")
+    assert sorted(r.pos for r in dedup.cut_by_size(rows, "g", "pos", "t", 25).collect()) == [0, 1, 2]
+    made, html = classify.renderer_content(F.col("m"), [F.col("a"), F.col("b")])
+    answers = spark.createDataFrame([("y" * 300, "", ""), ("short", "tiny", "z" * 900), (None, None, None)], "m string, a string, b string")
+    assert [(len(r[0]), len(r[1])) for r in answers.select(made, html).collect()] == [(300, 0), (0, 900), (0, 0)]
+    assert [fetch.render_mode(x) for x in (None, True, False, "first")] == ["auto", "auto", "never", "first"]
+    with pytest.raises(ValueError):
+        fetch.render_mode("often")

@@ -106,3 +106,20 @@ def test_streams(spark, tmp_path):
         q = made(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
         q.awaitTermination()
         assert [r[0] for r in spark.table(name).orderBy("seq").select(F.col(column)).collect()] == want
+
+
+def test_scans():
+    from millrace.sources import scans
+
+    english, french = "the cat of the house and the dog in the yard was on it at that time", "le chat dans la rue est sur les toits des maisons pour une nuit avec toi"
+    calls = []
+
+    def recognise(image, language):
+        calls.append(language)
+        return {b"e": english, b"f": french if language == "fra" else french, b"a": "lub yl " * 20 if language == "eng" else "arabic text"}[image]
+
+    assert scans.read([b"e"], ["eng"], recognise, lambda i: "Latin") == (english, "") and calls == ["eng"]
+    assert scans.choose(b"f", ["eng", "fra"], recognise, lambda i: "Latin") == ("fra", "")
+    assert scans.read([b"a"], ["eng", "ara"], recognise, lambda i: "Arabic") == ("arabic text", "")
+    assert scans.read([], ["eng"], recognise, lambda i: "")[1] == "no_pages" and scans.read([b"e"], [], recognise, lambda i: "")[1] == "no_language_data"
+    assert len(scans.read([b"e"] * 20, ["eng"], recognise, lambda i: "")[0].split("\n\n")) == scans.MOST_PAGES
