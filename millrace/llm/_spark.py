@@ -66,6 +66,15 @@ def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Narrow rows that may be broadcast, once counted: some 10 MB.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df with a broadcast hint if it has no more than BROADCAST_ROWS rows, else as it is."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def opened(path: str):
     """(file system, path) of a URI or a plain path; executors reach the store through its own client."""
     return pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)
@@ -93,10 +102,14 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], values:
     hot = hot_groups(groups, total).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[F.col(v).alias(f"__h_{v}") for v in values], F.lit(True).alias("__hot"))
     cold = groups.filter(F.col("group_size") < F.lit(max(2, int(total * HOT_SHARE)))).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.lit(0).cast("long").alias("__spread"), *[F.col(v).alias(f"__c_{v}") for v in values], F.lit(True).alias("__cold"))
     on = lambda left, right: [left[k].eqNullSafe(right[f"__k{i}"]) for i, k in enumerate(keys)]
+    if how == "inner":  # rows of no group leave at once
+        drop = [*(f"__k{i}" for i in range(len(keys))), "__hot"]
+        one = rows.join(F.broadcast(hot), on(rows, hot)).drop(*drop).withColumnsRenamed({f"__h_{v}": v for v in values})
+        rest = rows.join(F.broadcast(hot), on(rows, hot), "left_anti")
+        two = rest.join(cold, on(rest, cold)).drop(*drop, "__spread", "__cold").withColumnsRenamed({f"__c_{v}": v for v in values})
+        return one.unionByName(two)
     a = rows.join(F.broadcast(hot), on(rows, hot), "left").drop(*[f"__k{i}" for i in range(len(keys))])
     a = a.withColumn("__salt", F.when(F.col("__hot"), F.lit(1).cast("long") + F.abs(spread % F.lit(1 << 20))).otherwise(F.lit(0).cast("long")))
     b = a.join(cold, [*on(a, cold), a["__salt"] == cold["__spread"]], "left")
-    if how == "inner":
-        b = b.filter(F.col("__hot") | F.col("__cold"))
     keep = [c for c in rows.columns if c not in values]
     return b.select(*keep, *[F.when(F.col("__hot"), F.col(f"__h_{v}")).otherwise(F.col(f"__c_{v}")).alias(v) for v in values])

@@ -1,15 +1,22 @@
 """Connected components by alternating large-star and small-star steps over DataFrames.
 
 Every step is a partial aggregation and a join whose hot nodes are broadcast (bounded in number), so
-a component of a third of all rows neither meets in one task nor reaches the driver.
+a component of a third of all rows neither meets in one task nor reaches the driver. At most FEW
+links are joined in one task instead, which then holds a few megabytes whatever the corpus.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ._spark import join_groups, staged
 
+#: So many links are no matter for one task; counted before that way is taken.
+FEW = 200_000
+
 
 def _nearest(edges: DataFrame, total: int) -> DataFrame:
     """edges (u, v) with m: the smallest v of each u."""
@@ -17,14 +24,39 @@ def _nearest(edges: DataFrame, total: int) -> DataFrame:
     return join_groups(edges, least, ["u"], ["m"], total, F.xxhash64("v"))
 
 
+def _joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node, component) by a forest of parents, for few links."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while parent.setdefault(top, top) != top:
+            top = parent[top]
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for frame in frames:
+        for a, b in zip(frame["u"].tolist(), frame["v"].tolist(), strict=True):
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    found = [(x, root(x)) for x in list(parent)]
+    yield pd.DataFrame([x for x in found if x[0] != x[1]], columns=["node", "component"])
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b", rows: int | None = None) -> DataFrame:
     """(node, component) for every node of a link but the smallest of its component.
 
     component is the smallest node reachable. Self links and repeated links change nothing; no links
-    give an empty table; a null end is no link. rows: about how many links come, if known.
+    give an empty table; a null end is no link. rows: a count that the links do not exceed, if known.
     """
-    edges = links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    edges, state = staged(edges, "edges", rows), None
+    edges = links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    if rows is None:
+        edges = staged(edges.distinct(), "edges")
+        rows = edges.count()
+    if rows <= FEW:
+        return staged(edges.coalesce(1).mapInPandas(_joined, "node long, component long"), "components", rows)
+    edges, state = staged(edges.distinct(), "edges", rows), None
     while True:
         n, mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if n == 0 or (n, mark) == state:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import bloom, scan
-from ._spark import join_groups, new_folder, opened, staged
+from ._spark import join_groups, new_folder, opened, small, staged
 from .components import components
 
 BANDS, ROWS, B = 32, 5, 2
@@ -36,7 +36,7 @@ SIGNATURE = [f"s{j}" for j in range(B * PERMUTATIONS // 64)]  # B planes of one
 #: deviations of the estimate at the threshold, sqrt(C (1 - C) / PERMUTATIONS) / (1 - 2 ** -B).
 MARGIN = 0.16
 #: So few candidates are confirmed at once.
-FEW = 20_000
+FEW = 200_000
 
 _SEEDS = scan.stream(101, 2 * PERMUTATIONS)
 _A = (_SEEDS[:PERMUTATIONS] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -98,6 +98,7 @@ def signer(width: int):
 #: Minima of the finer signature, one low bit each, that candidates of later rounds must pass.
 FINE = 2048
 FINE_SIGNATURE = [f"f{j}" for j in range(FINE // 64)]
+BAND_KEYS = [f"b{j}" for j in range(BANDS)]
 FINE_MARGIN = 0.06  # over 4.5 standard deviations, sqrt(C (1 - C) / FINE) / (1 - 1 / 2)
 _FINE_SEEDS = scan.stream(202, 2 * FINE)
 _FA = (_FINE_SEEDS[:FINE] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -210,7 +211,7 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     n_docs = signed.count()
     full = signed.filter("n_shingles > 0")
     groups = staged(full.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("group_size")), "groups")
-    reps = staged(groups.select(F.col("rep").alias("doc_id"), *keys).join(signed, ["doc_id", *keys]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), *SIGNATURE, "bands"), "reps")
+    reps = staged(groups.select(F.col("rep").alias("doc_id"), *[F.col(k).alias(f"own_{k}") for k in keys]).join(full, "doc_id").filter(" and ".join(f"{k} = own_{k}" for k in keys)).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), *SIGNATURE, "bands"), "reps")
     roots = _links(spark, texts, reps, width, percent)
     groups = groups.join(roots, "rep", "left").select(*keys, F.coalesce("component", "rep").alias("component_id"), "group_size")
     out = join_groups(signed.select("doc_id", *keys), groups, keys, ["component_id"], n_docs, F.xxhash64("doc_id"))
@@ -227,15 +228,17 @@ def keep(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 def _links(spark, texts: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
     """(rep, component) of all representatives that share a bucket: the components of all confirmed links.
 
-    A round compares a few hubs of each unfinished bucket with its members; candidates over the
-    estimate wait in a pool. From the pool the most similar pairs of each component are confirmed
+    A round compares hubs of each unfinished bucket with its members: one hub, then up to 64 of as
+    many components, then all that are left, so most members are joined before many hubs are tried. After the
+    first round a pair is looked at in its first common bucket only. Candidates over the estimate
+    wait in a pool. From the pool the most similar pairs of each component are confirmed
     first, 1, then 32, then 1024 at a time; pairs whose ends a confirmed link has joined meanwhile need
     no test. Round and pool go on until nothing is left, so every candidate is decided.
     """
-    signed, signature, bits, margin = reps.select("rep", "n", *SIGNATURE), SIGNATURE, B, MARGIN
+    signed, signature, bits, margin, own = reps.select("rep", "n", *SIGNATURE), SIGNATURE, B, MARGIN, []
     total = reps.count() * BANDS
-    members = reps.select("rep", F.explode("bands").alias("band")).withColumn("component", F.col("rep"))
-    found, sets, failed, hubs_each = None, None, None, 1
+    members = reps.select("rep", F.posexplode("bands").alias("k", "band")).withColumn("component", F.col("rep"))
+    found, sets, keyed, n_sets, hubs_each = None, None, None, 0, 1
     while True:
         state = members.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("group_size")).filter("lo < hi").withColumn("open", F.lit(True))
         members = staged(join_groups(members, state, ["band"], ["open"], total, F.xxhash64("rep"), "inner").drop("open"), "members", total)
@@ -245,18 +248,28 @@ def _links(spark, texts: DataFrame, reps: DataFrame, width: int, percent: int) -
         if not total:
             return found
         if sets is None:
-            sets = _stored(spark, texts, found.select("rep"), width)
-        sizes = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("rep"))
-        hubs = sizes.groupBy("band", F.pmod(F.xxhash64("component"), F.lit(hubs_each)).alias("cell")).agg(F.min(F.struct("c", "rep", "component")).alias("hub"))
-        hubs = staged(hubs.select("band", F.col("hub.rep").alias("hub"), F.col("hub.component").alias("hub_component")), "hubs", total)
-        hub_side = hubs.join(signed.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n"), *signature), "hub").alias("h")
+            n_sets = found.count()
+            sets = _stored(spark, texts, found.select("rep"), n_sets, width)
+            keyed = staged(sets.join(reps.select("rep", *[F.col("bands")[j].alias(b) for j, b in enumerate(BAND_KEYS)]), "rep").withColumnRenamed("size", "n"), "keyed")
+        if hubs_each:  # of a cell the smallest component's first member
+            sizes = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("rep"))
+            hubs = sizes.groupBy("band", F.pmod(F.xxhash64("component"), F.lit(hubs_each)).alias("cell")).agg(F.min(F.struct("c", "rep", "component")).alias("hub"))
+            hubs = staged(hubs.select("band", F.col("hub.rep").alias("hub"), F.col("hub.component").alias("hub_component")), "hubs", total)
+        else:  # all members, each against those behind it
+            hubs = members.select("band", F.col("rep").alias("hub"), F.col("component").alias("hub_component"))
+        hub_side = hubs.join(signed.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n"), *signature, *own), "hub").alias("h")
         member_side = members.join(signed, "rep").alias("m")
         sized = 100 * F.least("h.hub_n", "m.n") >= percent * F.greatest("h.hub_n", "m.n")
         guess = estimate("h", "m", signature, bits)
         near = (F.col("h.band") == F.col("m.band")) & (F.col("h.hub_component") != F.col("m.component")) & sized & (guess >= percent / 100 - margin)
+        if not hubs_each:
+            near &= F.col("h.hub") < F.col("m.rep")
+        if own:  # the first band that both share
+            at = F.lit(BANDS)
+            for j in reversed(range(BANDS)):
+                at = F.when(F.col(f"h.b{j}") == F.col(f"m.b{j}"), F.lit(j)).otherwise(at)
+            near &= at == F.col("m.k")
         pool = hub_side.join(member_side, near).select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"), F.when(F.col("hub") < F.col("rep"), F.col("hub_component")).otherwise(F.col("component")).alias("ca"), F.when(F.col("hub") < F.col("rep"), F.col("component")).otherwise(F.col("hub_component")).alias("cb"), guess.alias("guess")).dropDuplicates(["a", "b"])
-        if failed is not None:
-            pool = pool.join(failed, ["a", "b"], "left_anti")
         pool, picked = staged(pool, "pool", total), 1
         while waiting := pool.count():
             if waiting <= FEW:
@@ -266,35 +279,37 @@ def _links(spark, texts: DataFrame, reps: DataFrame, width: int, percent: int) -
             pick = pool
             if picked < waiting:
                 pick = pool.groupBy("ca", cell).agg(best).select("best.*").unionByName(pool.groupBy("cb", cell).agg(best).select("best.*")).dropDuplicates(["a", "b"])
-            tested = _confirmed(sets, pick.drop("guess"), percent, waiting)
+            tested = _confirmed(sets, pick.drop("guess"), percent, waiting, n_sets)
             moved = components(tested.filter("linked"), "ca", "cb", waiting)
-            found = staged(_moved(found, moved, "component"), "components", total)
-            bad = tested.filter("not linked").select("a", "b")
-            failed = bad if failed is None else failed.unionByName(bad)
-            pool = _moved(_moved(pool.join(tested.select("a", "b"), ["a", "b"], "left_anti"), moved, "ca"), moved, "cb")
+            found = staged(_moved(found, moved, "component", waiting), "components", n_sets)
+            if pick is pool:
+                break
+            pool = _moved(_moved(pool.join(tested.select("a", "b"), ["a", "b"], "left_anti"), moved, "ca", waiting), moved, "cb", waiting)
             pool, picked = staged(pool.filter("ca <> cb"), "pool", waiting), picked * 32
+        if not hubs_each:
+            return found
         # the hubs have met all members of their buckets and leave them
-        rest = members.join(hubs.select("band", F.col("hub").alias("rep")), ["band", "rep"], "left_anti").select("rep", "band")
-        members = rest.join(found, "rep")
-        hubs_each *= 8
-        signed, signature, bits, margin = sets.withColumnRenamed("size", "n"), FINE_SIGNATURE, 1, FINE_MARGIN
+        rest = members.join(small(hubs.select("band", F.col("hub").alias("rep")), total), ["band", "rep"], "left_anti").select("rep", "k", "band")
+        members = rest.join(small(found, n_sets), "rep")
+        hubs_each = 64 if hubs_each == 1 else 0
+        signed, signature, bits, margin, own = keyed, FINE_SIGNATURE, 1, FINE_MARGIN, BAND_KEYS
 
 
-def _moved(rows: DataFrame, moved: DataFrame, column: str) -> DataFrame:
-    """rows with the column's components replaced by those that they joined."""
-    return rows.join(moved.select(F.col("node").alias(column), F.col("component").alias("__to")), column, "left").withColumn(column, F.coalesce("__to", column)).drop("__to").select(*rows.columns)
+def _moved(rows: DataFrame, moved: DataFrame, column: str, most: int) -> DataFrame:
+    """rows with the column's components replaced by those that they joined; moved has ``most`` rows at most."""
+    return rows.join(small(moved.select(F.col("node").alias(column), F.col("component").alias("__to")), most), column, "left").withColumn(column, F.coalesce("__to", column)).drop("__to").select(*rows.columns)
 
 
-def _stored(spark, texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+def _stored(spark, texts: DataFrame, wanted: DataFrame, n: int, width: int) -> DataFrame:
     """Where the full sets of the wanted documents lie, with fine signatures, from a second reading."""
-    words = spark.sparkContext.broadcast(bloom.build(wanted, "rep", wanted.count()))
+    words = spark.sparkContext.broadcast(bloom.build(wanted, "rep", n))
     rows = texts.mapInArrow(storer(width, words, new_folder(spark, "sets")), _PLACE + ", ".join(f"{x} long" for x in FINE_SIGNATURE))
     return staged(rows.dropDuplicates(["rep"]), "sets")
 
 
-def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int, rows: int) -> DataFrame:
-    """pairs with linked."""
+def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int, rows: int, n_sets: int) -> DataFrame:
+    """pairs with linked; n_sets counts the sets, filter's extras aside."""
     for end in "ab":
         place = sets.select(F.col("rep").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in ("path", "at", "size")])
-        pairs = pairs.join(place, end)
+        pairs = pairs.join(small(place, 2 * n_sets), end)
     return staged(pairs.mapInArrow(confirmer(percent), "a long, b long, ca long, cb long, linked boolean"), "tested", rows)
