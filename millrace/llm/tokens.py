@@ -1,8 +1,8 @@
 """Token ids of whole texts by a tokenizer file, one dictionary lookup a word.
 
 The tokenizers here never merge across a space, line feed or tab (their pre-tokenisation drops white
-space), so a text's ids are those of its space-separated parts in order. Each distinct part of a
-slice is encoded once by the library; parts seen before come from a bounded cache.
+space), so a text's ids are those of its space-separated parts in order. A part is encoded once by the library and then
+comes from a bounded cache.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 WORD_BPE = "word_bpe_49k.json"
-#: Cached parts per worker, about 130 MB; beyond that the oldest quarter stays, where frequent words are.
-MOST_PARTS = 600_000
+#: Cached parts per worker, about 100 MB; beyond that the oldest quarter stays, where frequent words are.
+MOST_PARTS = 500_000
 #: Parts longer than this do not stay in the cache.
 LONG_PART = 64
 #: Letters, then punctuation: the two never share a token, and these letters are in normal form and
@@ -29,59 +29,54 @@ _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SYMBOL = {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _VISIBLE)}
 
 
+class _Known(dict):
+    """Ids by part; a part asked for the first time is encoded there and then.
+
+    Plain words go to the merge model as lower-case stems, which many parts share; all else passes
+    through the whole tokenizer.
+    """
+
+    def __init__(self, tokenizer: Tokenizer, items=()) -> None:
+        super().__init__(items)
+        self.tokenizer, self.tokenize = tokenizer, tokenizer.model.tokenize
+
+    def __missing__(self, part: str) -> bytes:
+        if part.isascii() and part.isalpha():
+            stem, tail = part.lower(), ""
+        else:
+            found = _PLAIN(part)
+            if not found:
+                ids = array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+                if len(part) <= LONG_PART:
+                    self[part] = ids
+                return ids
+            stem, tail = found[1].lower(), found[2]
+        ids = self.get(stem)
+        if ids is None:
+            symbols = stem if stem.isascii() else stem.encode().decode("latin-1").translate(_SYMBOL)
+            ids = array("I", [x.id for x in self.tokenize(symbols)]).tobytes()
+            if len(stem) <= LONG_PART:
+                self[stem] = ids
+        if tail:
+            ids += self[tail]
+        if len(part) <= LONG_PART:
+            self[part] = ids
+        return ids
+
+
 class Encoder:
     """ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {"": b""}
+        self.cache = _Known(self.tokenizer, {"": b""})
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        parts = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        known = self.cache
-        fresh = set().union(*parts).difference(known)
-        if len(known) + len(fresh) > MOST_PARTS:
-            self.cache = known = dict(itertools.islice(known.items(), MOST_PARTS // 4))
-            fresh = set().union(*parts).difference(known)
-        order = list(fresh)
-        self._learn(order)
-        out = [b"".join(map(known.__getitem__, p)) for p in parts]
-        if max(map(len, order), default=0) > LONG_PART:
-            for x in order:
-                if len(x) > LONG_PART:
-                    known.pop(x, None)
-        return out
-
-    def _learn(self, parts: list[str]) -> None:
-        """Plain words go to the merge model as lower-case stems, which many parts share; all else
-        passes through the whole tokenizer, many parts a call."""
-        known, plain, rest = self.cache, [], []
-        for part in parts:
-            found = _PLAIN(part)
-            if found:
-                plain.append((part, found[1].lower(), found[2]))
-            else:
-                rest.append(part)
-        rest += {tail for _, _, tail in plain}.difference(known)
-        for at in range(0, len(rest), 1000):
-            self._encode(rest[at : at + 1000])
-        tokenize = self.tokenizer.model.tokenize
-        for part, stem, tail in plain:
-            ids = known.get(stem)
-            if ids is None:
-                symbols = stem if stem.isascii() else stem.encode().decode("latin-1").translate(_SYMBOL)
-                ids = known[stem] = array("I", [x.id for x in tokenize(symbols)]).tobytes()
-            known[part] = ids + known[tail] if tail else ids
-
-    def _encode(self, parts: list[str]) -> None:
-        """Parts joined by spaces in one call; a token belongs to the part in which it starts."""
-        found = self.tokenizer.encode(" ".join(parts), add_special_tokens=False)
-        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
-        starts = np.fromiter((x for x, _ in found.offsets), np.int64, len(found))
-        cut = (4 * np.searchsorted(starts, ends)).tolist()
-        raw = array("I", found.ids).tobytes()
-        self.cache.update(zip(parts, [raw[a:b] for a, b in zip([0, *cut], cut, strict=False)], strict=True))
+        if len(self.cache) > MOST_PARTS:
+            self.cache = _Known(self.tokenizer, itertools.islice(self.cache.items(), MOST_PARTS // 4))
+        known = self.cache.__getitem__
+        return [b"".join(map(known, (t or "").replace("\n", " ").replace("\t", " ").split(" "))) for t in texts]
 
 
 _ENCODERS: dict[str, Encoder] = {}
