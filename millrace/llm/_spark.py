@@ -6,6 +6,7 @@ Executors share no local folder, so every intermediate table goes below the fold
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -17,8 +18,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Rows in an Arrow batch of whole texts: Spark's default of 10,000 may be hundreds of megabytes.
+BATCH_ROWS = 1_000
+
+
 def ready(spark: SparkSession) -> None:
-    """Let Python workers import this package also when they start in another folder."""
+    """Let Python workers import this package also when they start in another folder, and keep batches
+    of whole texts small, unless the session's own setting is smaller."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)
@@ -66,6 +75,16 @@ def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let the driver drop what finished steps of a long loop hold: plans, broadcasts, shuffle files.
+
+    Spark cleans up after objects that the driver's collector has found, and a loop of many small
+    jobs may not fill the heap for a long time.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Narrow rows that may be broadcast, once counted: some 10 MB.
 BROADCAST_ROWS = 100_000
 

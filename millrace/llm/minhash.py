@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import bloom, scan
-from ._spark import join_groups, new_folder, opened, small, staged
+from ._spark import join_groups, new_folder, opened, small, staged, tidy
 from .components import components
 
 BANDS, ROWS, B = 32, 5, 2
@@ -210,8 +210,9 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     keys = ["n_shingles", "k1", "k2"]
     n_docs = signed.count()
     full = signed.filter("n_shingles > 0")
-    groups = staged(full.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("group_size")), "groups")
-    reps = staged(groups.select(F.col("rep").alias("doc_id"), *[F.col(k).alias(f"own_{k}") for k in keys]).join(full, "doc_id").filter(" and ".join(f"{k} = own_{k}" for k in keys)).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), *SIGNATURE, "bands"), "reps")
+    groups = staged(full.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("group_size")), "groups", n_docs)
+    reps = staged(groups.select(F.col("rep").alias("doc_id"), *[F.col(k).alias(f"own_{k}") for k in keys]).join(full, "doc_id").filter(" and ".join(f"{k} = own_{k}" for k in keys)).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), *SIGNATURE, "bands"), "reps", n_docs)
+    tidy(spark)
     roots = _links(spark, texts, reps, width, percent)
     groups = groups.join(roots, "rep", "left").select(*keys, F.coalesce("component", "rep").alias("component_id"), "group_size")
     out = join_groups(signed.select("doc_id", *keys), groups, keys, ["component_id"], n_docs, F.xxhash64("doc_id"))
@@ -247,10 +248,11 @@ def _links(spark, texts: DataFrame, reps: DataFrame, width: int, percent: int) -
             found = staged(members.select("rep", "component").distinct(), "components", total)
         if not total:
             return found
+        tidy(spark)
         if sets is None:
             n_sets = found.count()
             sets = _stored(spark, texts, found.select("rep"), n_sets, width)
-            keyed = staged(sets.join(reps.select("rep", *[F.col("bands")[j].alias(b) for j, b in enumerate(BAND_KEYS)]), "rep").withColumnRenamed("size", "n"), "keyed")
+            keyed = staged(sets.join(reps.select("rep", *[F.col("bands")[j].alias(b) for j, b in enumerate(BAND_KEYS)]), "rep").withColumnRenamed("size", "n"), "keyed", n_sets)
         if hubs_each:  # of a cell the smallest component's first member
             sizes = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("rep"))
             hubs = sizes.groupBy("band", F.pmod(F.xxhash64("component"), F.lit(hubs_each)).alias("cell")).agg(F.min(F.struct("c", "rep", "component")).alias("hub"))
@@ -271,6 +273,7 @@ def _links(spark, texts: DataFrame, reps: DataFrame, width: int, percent: int) -
             near &= at == F.col("m.k")
         pool = hub_side.join(member_side, near).select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"), F.when(F.col("hub") < F.col("rep"), F.col("hub_component")).otherwise(F.col("component")).alias("ca"), F.when(F.col("hub") < F.col("rep"), F.col("component")).otherwise(F.col("hub_component")).alias("cb"), guess.alias("guess")).dropDuplicates(["a", "b"])
         pool, picked = staged(pool, "pool", total), 1
+        tidy(spark)
         while waiting := pool.count():
             if waiting <= FEW:
                 picked = waiting  # one job is cheaper than the tests it may save
@@ -286,6 +289,7 @@ def _links(spark, texts: DataFrame, reps: DataFrame, width: int, percent: int) -
                 break
             pool = _moved(_moved(pool.join(tested.select("a", "b"), ["a", "b"], "left_anti"), moved, "ca", waiting), moved, "cb", waiting)
             pool, picked = staged(pool.filter("ca <> cb"), "pool", waiting), picked * 32
+        tidy(spark)
         if not hubs_each:
             return found
         # the hubs have met all members of their buckets and leave them
@@ -304,7 +308,9 @@ def _stored(spark, texts: DataFrame, wanted: DataFrame, n: int, width: int) -> D
     """Where the full sets of the wanted documents lie, with fine signatures, from a second reading."""
     words = spark.sparkContext.broadcast(bloom.build(wanted, "rep", n))
     rows = texts.mapInArrow(storer(width, words, new_folder(spark, "sets")), _PLACE + ", ".join(f"{x} long" for x in FINE_SIGNATURE))
-    return staged(rows.dropDuplicates(["rep"]), "sets")
+    out = staged(rows.dropDuplicates(["rep"]), "sets", n)
+    words.unpersist()
+    return out
 
 
 def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int, rows: int, n_sets: int) -> DataFrame:
