@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, tokenizer: str = tokens.WORD_BPE, end_id: int = 1, c
         for batch in batches:
             names, texts = batch.column(0), batch.column(1)
             offsets, _ = scan.buffers(texts)
-            for a, b in scan.slices(offsets, 1 << 22):
+            for a, b in scan.slices(offsets, 1 << 21):
                 rows, starts, sums, sizes, whole, kept = [], [], [], [], [], []
                 for row, raw in enumerate(encoder.encode(texts.slice(a, b - a).to_pylist()), a):
                     raw += end

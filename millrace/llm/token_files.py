@@ -142,7 +142,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, partitions:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             offsets, _ = scan.buffers(texts)
-            for a, b in scan.slices(offsets, 1 << 22):
+            for a, b in scan.slices(offsets, 1 << 21):
                 for doc_id, raw in zip(ids.slice(a, b - a).to_pylist(), encoder.encode(texts.slice(a, b - a).to_pylist()), strict=True):
                     if writer is None:
                         part = batch.column(2)[0].as_py()

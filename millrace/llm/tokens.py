@@ -17,8 +17,8 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 WORD_BPE = "word_bpe_49k.json"
-#: Cached parts per worker, about 100 MB; beyond that the oldest quarter stays, where frequent words are.
-MOST_PARTS = 500_000
+#: Cached parts per worker, about 40 MB; beyond that the oldest quarter stays, where frequent words are.
+MOST_PARTS = 200_000
 #: Parts longer than this do not stay in the cache.
 LONG_PART = 64
 #: Letters, then punctuation: the two never share a token, and these letters are in normal form and
