@@ -200,17 +200,19 @@ def _prefix(a: str, b: str) -> int:
     return n
 
 
-#: Keys sampled for each range; the sample reaches the driver, the ranges are as many as tasks.
-SAMPLED = 30
+#: Pages a range aims at, and the most ranges, each of which sends an edge to the driver.
+RANGE, MOST_RANGES = 2_000, 10_000
+#: Keys sampled for each range, and in all; the sample reaches the driver.
+SAMPLED, MOST_SAMPLED = 30, 100_000
 
 
 def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
     """(page_id, url, text, n_chars), one row per page."""
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    ranges = ranges or max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     names = rows.select("page_id", "url")
-    picked = names.orderBy(F.xxhash64("url", "page_id"), "url", "page_id").limit(SAMPLED * ranges).collect()
+    ranges = ranges or max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, names.count() // RANGE))
+    picked = names.orderBy(F.xxhash64("url", "page_id"), "url", "page_id").limit(min(MOST_SAMPLED, SAMPLED * ranges)).collect()
     keys = sorted(key(x["url"], x["page_id"]) for x in picked)
     cuts = [keys[k * len(keys) // ranges] for k in range(1, ranges)] if keys else []
 
