@@ -2,13 +2,16 @@
 
 Encoding starts from single characters and takes, from an agenda, the best candidate merge (highest
 score, then leftmost) until none is left. With dropout each candidate is skipped when a keyed hash of
-(seed, variant, part, its place) falls below the rate, so a part has VARIANTS segmentations, drawn by
-a keyed hash of (seed, document, position); all of them decode to the same text. With rate 0 the ids
-are those of the model's own library.
+(seed, document, position of the part, its place in the part) falls below the rate, so every occurrence
+of a part draws anew; all segmentations decode to the same text. With rate 0 the ids are those of the
+model's own library.
 
-No piece holds a character before a space mark, so the parts between spaces are independent: distinct
-(part, variant) pairs of a slice run through their agendas side by side, one merge a round each, in
-numpy; results are gathered back by position and kept in a bounded cache.
+No piece holds a character before a space mark, so the parts between spaces are independent. A part's
+outcome depends only on which of the candidates it meets are skipped, so the cache holds a tree for
+each part of up to TREE symbols: a node is the run with a given set of skips, and lists the candidates
+met since the last of them; an occurrence goes to the child of the first one that it skips, until it
+skips none. Missing nodes run through their agendas side by side, one merge a round each, in numpy.
+Longer and rarer parts run once for each occurrence. The cache is bounded and changes no result.
 
 Edge cases: null and empty texts have no ids and decode to the empty text; characters without a piece,
 and the space mark itself, become byte pieces, so every text decodes to itself; rows that repeat a
@@ -20,7 +23,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -32,9 +35,12 @@ from pyspark.sql import DataFrame, functions as F
 from . import scan
 
 MODEL = "piece_bpe_32k.model"
-RATE, SEED, VARIANTS = 0.1, 1, 2
-#: Cached segmentations per worker, about 100 MB.
-MOST_PARTS = 400_000
+#: VARIANTS 0: each occurrence draws anew; n: a part has n keys at most, of which occurrences draw one.
+RATE, SEED, VARIANTS = 0.1, 1, 0
+#: Cached parts and candidates of tree nodes per worker, about 200 MB.
+MOST_PARTS, MOST_CANDIDATES = 300_000, 4_000_000
+#: Parts of up to so many symbols have trees, once met so often; so many occurrences go down them at once.
+TREE, OFTEN, STEP = 10, 3, 1 << 17
 #: Parts beyond this many symbols have agendas of their own, on a heap.
 WIDE = 48
 MARK = "▁"
@@ -74,6 +80,15 @@ class Pieces:
                     merged.append(i)
         at = np.argsort(np.array(keys))
         self.keys, self.ranks, self.merged = np.array(keys, np.int64)[at], np.array(ranks, np.int32)[at], np.array(merged, np.int32)[at]
+        # open addressing: slots hold the number of a merge, -1 where free
+        self.slots = np.full(1 << 20, -1, np.int32)
+        rest, self.probes = np.arange(len(at)), 0
+        while len(rest):
+            slot = self._slot(self.keys[rest], self.probes)
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = rest[free]
+            rest = rest[self.slots[slot] != rest]
+            self.probes += 1
         shown = set(normal)
         raw = [bytes([int(x[3:5], 16)]) if own.is_byte(i) else x.replace(MARK, " ").encode() if i in shown else b"" for i, x in enumerate(self.names)]
         self.sizes = np.array([len(x) for x in raw], np.int64)
@@ -83,18 +98,41 @@ class Pieces:
     def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rank, merged piece) of each pair; rank _NEVER where the two do not merge."""
         key = left.astype(np.int64) << 16 | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        good = (self.keys[at] == key) & (left >= 0) & (right >= 0)
+        key[(left < 0) | (right < 0)] = -1
+        at = self.slots[self._slot(key, 0)]
+        good = (at >= 0) & (self.keys[at] == key)
+        rest = np.flatnonzero((at >= 0) & ~good & (key >= 0))
+        for probe in range(1, self.probes):
+            if not len(rest):
+                break
+            other = self.slots[self._slot(key[rest], probe)]
+            same = (other >= 0) & (self.keys[other] == key[rest])
+            at[rest[same]], good[rest[same]] = other[same], True
+            rest = rest[(other >= 0) & ~same]
         return np.where(good, self.ranks[at], _NEVER), self.merged[at]
 
+    def _slot(self, key: np.ndarray, probe: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64) + probe) & (len(self.slots) - 1)
+
 
 def skipped(rate: float, key: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Keyed decision on the candidate that joins [start, middle) and [middle, end) of a part."""
     if rate <= 0:
         return np.zeros(len(key), bool)
+    return drawn(rate, key, placed(start, middle, end))
+
+
+def placed(start: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The candidate's place as a spread 64-bit value."""
     place = (start.astype(np.uint64) << np.uint64(42)) ^ (middle.astype(np.uint64) << np.uint64(21)) ^ end.astype(np.uint64)
     with np.errstate(over="ignore"):
-        return (scan.mix(scan.mix(key + place) ^ key) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < rate
+        return scan.mix((place + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def drawn(rate: float, key: np.ndarray, place: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (scan.mix(key + place) >> np.uint64(11)) < np.uint64(rate * 2.0**53)
 
 
 _WEIGHTS = scan.stream(77, 1 << 12) | np.uint64(1)
@@ -111,19 +149,25 @@ def part_keys(points: np.ndarray, sizes: np.ndarray, seed: int, variants: np.nda
 
 def segment(pieces: Pieces, symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
     """(ids, sizes) of all parts in a row: their agendas advance together, each by its best merge a round."""
+    return _run(pieces, symbols, sizes, lambda row, *place: skipped(rate, keys[row], *place), lambda i, own: agenda(pieces, own, int(keys[i]), rate))
+
+
+def _run(pieces: Pieces, symbols: np.ndarray, sizes: np.ndarray, skip: Callable, wide: Callable | None, met: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """segment() with any skip(rows, start, middle, end); met receives the candidates of each row in their order."""
     first = np.cumsum(sizes) - sizes
     counts, blocks, owners = np.zeros(len(sizes), np.int64), [], []
     low = 0
     for high in (8, 12, 18, 28, WIDE):
         rows = np.flatnonzero((sizes > low) & (sizes <= high))
         low = high
-        if len(rows):
-            ids, count = _side_by_side(pieces, symbols, first[rows], sizes[rows], keys[rows], rate, high)
-            counts[rows] = count
-            blocks.append(ids)
-            owners.append(np.repeat(rows, count))
+        for some in np.split(rows, range(1 << 14, len(rows), 1 << 14)):
+            if len(some):
+                ids, count = _side_by_side(pieces, symbols, first[some], sizes[some], some, skip, high, met)
+                counts[some] = count
+                blocks.append(ids)
+                owners.append(np.repeat(some, count))
     for i in np.flatnonzero(sizes > WIDE):
-        found = agenda(pieces, symbols[first[i] : first[i] + sizes[i]].tolist(), int(keys[i]), rate)
+        found = wide(i, symbols[first[i] : first[i] + sizes[i]].tolist())
         counts[i] = len(found)
         blocks.append(found)
         owners.append(np.full(len(found), i))
@@ -132,7 +176,15 @@ def segment(pieces: Pieces, symbols: np.ndarray, sizes: np.ndarray, keys: np.nda
     return np.concatenate(blocks)[np.argsort(np.concatenate(owners), kind="stable")], counts
 
 
-def _side_by_side(pieces: Pieces, symbols: np.ndarray, first: np.ndarray, lengths: np.ndarray, key: np.ndarray, rate: float, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _side_by_side(pieces: Pieces, symbols: np.ndarray, first: np.ndarray, lengths: np.ndarray, owner: np.ndarray, skip: Callable, width: int, met: list | None) -> tuple[np.ndarray, np.ndarray]:
+    def offered(found: np.ndarray, row: np.ndarray, *place: np.ndarray) -> np.ndarray:
+        good = np.flatnonzero(found != _NEVER)
+        row, place = owner[row[good]], [x[good] for x in place]
+        if met is not None:
+            met.append((row, *place))
+        found[good[skip(row, *place)]] = _NEVER
+        return found
+
     n = len(first)
     col = np.arange(width + 1, dtype=np.int32)[None, :]
     mask = col < lengths[:, None]
@@ -143,8 +195,7 @@ def _side_by_side(pieces: Pieces, symbols: np.ndarray, first: np.ndarray, length
     rank = np.full((n, width + 1), _NEVER, np.int32)
     r, c = np.nonzero(mask[:, 1:])
     found, _ = pieces.find(ids[r, c], ids[r, c + 1])
-    found[skipped(rate, key[r], c, c + 1, c + 2)] = _NEVER
-    rank[r, c] = found
+    rank[r, c] = offered(found, r, c, c + 1, c + 2)
     live = np.arange(n)
     while True:
         best = rank[live].argmin(axis=1)
@@ -167,8 +218,7 @@ def _side_by_side(pieces: Pieces, symbols: np.ndarray, first: np.ndarray, length
             a = at[use]
             found, _ = pieces.find(mine[use, a], mine[use, a + 1])
             after = np.where(a + 2 < left[use], begun[use, np.minimum(a + 2, width)], lengths[live[use]])
-            found[skipped(rate, key[live[use]], begun[use, a], begun[use, a + 1], after)] = _NEVER
-            ranks[use, a] = found
+            ranks[use, a] = offered(found, live[use], begun[use, a], begun[use, a + 1], after)
         ids[live], start[live], rank[live], count[live] = mine, begun, ranks, left
 
 
@@ -204,55 +254,152 @@ def agenda(pieces: Pieces, symbols: list[int], key: int, rate: float) -> np.ndar
     return np.array([x for x in ids if x is not None], np.int32)
 
 
+def _code(row: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return row.astype(np.int64) << 18 | start.astype(np.int64) << 12 | middle.astype(np.int64) << 6 | end
+
+
+class _Rows:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type) -> None:
+        self.all, self.n = np.zeros(1 << 10, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.all):
+            self.all = np.concatenate([self.all, np.zeros(max(len(self.all), len(values)), self.all.dtype)])
+        self.all[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+
+def _ragged(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs that start at first, one run behind the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Encoder:
     def __init__(self, path: str, rate: float, seed: int, variants: int) -> None:
         self.pieces = Pieces(path)
-        self.rate, self.seed, self.variants = rate, seed, variants if rate > 0 else 1
+        self.rate, self.seed, self.variants = rate, seed, variants if rate > 0 else 0
         self._clear()
 
     def _clear(self) -> None:
         self.numbers: dict[str, int] = {}
-        self.parts: list[str] = []
-        self.slot = np.full(0, -1, np.int64)
-        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.int32)
+        # of each part: where its symbols are, its keyed hash, how often it was met, the root of its tree (-1: none)
+        self.symbols, self.first, self.sizes, self.hashes, self.times, self.root = _Rows(np.int32), _Rows(np.int64), _Rows(np.int64), _Rows(np.uint64), _Rows(np.int64), _Rows(np.int64)
+        # of each node: its part, the node and candidate it forks from, where its candidates and its ids are
+        self.part, self.parent, self.fork = _Rows(np.int64), _Rows(np.int64), _Rows(np.int64)
+        self.met, self.n_met, self.start, self.size = _Rows(np.int64), _Rows(np.int64), _Rows(np.int64), _Rows(np.int64)
+        # of each candidate of a node: start, middle and end in six bits each, the spread place, the child that skips it
+        self.code, self.place, self.child = _Rows(np.int32), _Rows(np.uint64), _Rows(np.int64)
+        self.pool = _Rows(np.int32)
 
     def encode(self, doc_ids: list[int], texts: list[str]) -> list[np.ndarray]:
         """Piece ids of whole texts."""
         # a space opens the next part; further spaces before it stay with it
         split = [_parts(t) for t in texts]
-        if len(self.parts) > MOST_PARTS:
+        if self.root.n > MOST_PARTS or self.child.n > MOST_CANDIDATES:
             self._clear()
-        numbers, known = self.numbers, len(self.parts)
-        for x in set().union(*split).difference(numbers):
-            numbers[x] = len(self.parts)
-            self.parts.append(x)
+        numbers = self.numbers
+        fresh = list(set().union(*split).difference(numbers))
+        if fresh:
+            numbers.update(zip(fresh, range(len(numbers), len(numbers) + len(fresh)), strict=True))
+            symbols, sizes, hashes = self._symbols(fresh, np.zeros(len(fresh), np.int64))
+            self.first.add(self.symbols.n + np.cumsum(sizes) - sizes)
+            self.symbols.add(symbols)
+            self.sizes.add(sizes)
+            self.hashes.add(hashes)
+            self.times.add(np.zeros(len(fresh), np.int64))
+            self.root.add(np.full(len(fresh), -1))
         lengths = [len(x) for x in split]
         flat = np.fromiter(map(numbers.__getitem__, chain.from_iterable(split)), np.int64, sum(lengths))
         first = np.cumsum([0, *lengths])
         with np.errstate(over="ignore"):
-            who = np.repeat(np.array(doc_ids, np.int64).view(np.uint64), lengths)
+            who = np.repeat(scan.mix(np.array(doc_ids, np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(self.seed)), lengths)
             where = np.arange(len(flat), dtype=np.uint64) - np.repeat(first[:-1].astype(np.uint64), lengths)
-            pick = scan.mix(scan.mix(who * np.uint64(0x9E3779B97F4A7C15) + np.uint64(self.seed)) + where) % np.uint64(self.variants)
-        code = flat * self.variants + pick.astype(np.int64)
-        self.slot = np.concatenate([self.slot, np.full((len(self.parts) - known) * self.variants, -1, np.int64)])
-        need = np.zeros(len(self.slot), bool)
-        need[code] = True
-        fresh = np.flatnonzero(need & (self.slot < 0))
-        if len(fresh):
-            symbols, sizes, keys = self._symbols([self.parts[k] for k in (fresh // self.variants).tolist()], fresh % self.variants)
-            joined, sizes = segment(self.pieces, symbols, sizes, keys, self.rate)
-            self.slot[fresh] = len(self.start) + np.arange(len(fresh))
-            self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(sizes) - sizes])
-            self.size = np.concatenate([self.size, sizes])
-            self.pool = np.concatenate([self.pool, np.where(joined < -1, -2 - joined, joined).astype(np.int32)])
-        at = self.slot[code]
-        size = self.size[at]
-        ends = np.cumsum(size)
-        out = self.pool[np.repeat(self.start[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        cut = np.concatenate([[0], ends])[first]
+            keys = scan.mix(scan.mix(who + where) ^ who)
+            if self.variants:
+                keys = scan.mix(self.hashes.all[flat] + keys % np.uint64(self.variants) * np.uint64(0xD1B54A32D192ED03))
+        n = self.root.n
+        self.times.all[:n] += np.bincount(flat, minlength=n)
+        often = (self.times.all[:n] >= OFTEN) & (self.sizes.all[:n] <= TREE) if self.rate > 0 else self.times.all[:n] > 0
+        often = np.flatnonzero(often & (self.root.all[:n] < 0))
+        self.root.all[often] = self.part.n + np.arange(len(often))
+        self._grow(often, np.full(len(often), -1), np.full(len(often), -1))
+        node = self.root.all[flat]
+        long = np.flatnonzero(node < 0)
+        if self.rate > 0:
+            for a in range(0, len(flat), STEP):
+                self._descend(node[a : a + STEP], keys[a : a + STEP])
+        start, size = self.start.all[node], self.size.all[node]
+        pool = self.pool.all[: self.pool.n]
+        if len(long):
+            sizes = self.sizes.all[flat[long]]
+            ids, own = segment(self.pieces, self.symbols.all[_ragged(self.first.all[flat[long]], sizes)], sizes, keys[long], self.rate)
+            start[long], size[long] = len(pool) + np.cumsum(own) - own, own
+            pool = np.concatenate([pool, ids])
+        out = pool[_ragged(start, size)]
+        out = np.where(out < -1, -2 - out, out)
+        cut = np.concatenate([[0], np.cumsum(size)])[first]
         return [out[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
+    def _descend(self, node: np.ndarray, keys: np.ndarray) -> None:
+        """Move each occurrence from its root to the node of the skips that it draws."""
+        todo = np.flatnonzero(node >= 0)
+        while len(todo):
+            at = node[todo]
+            counts = self.n_met.all[at]
+            edge = _ragged(self.met.all[at], counts)
+            hit = np.flatnonzero(drawn(self.rate, np.repeat(keys[todo], counts), self.place.all[edge]))
+            row = np.searchsorted(np.cumsum(counts), hit, "right")
+            lead = np.flatnonzero(np.diff(row, prepend=-1))  # the first skip of each
+            row, edge = row[lead], edge[hit[lead]]
+            missing, where = np.unique(edge[self.child.all[edge] < 0], return_index=True)
+            if len(missing):
+                parents = at[row[self.child.all[edge] < 0][where]]
+                self.child.all[missing] = self.part.n + np.arange(len(missing))
+                self._grow(self.part.all[parents], parents, missing)
+            todo = todo[row]
+            node[todo] = self.child.all[edge]
+
+    def _grow(self, parts: np.ndarray, parents: np.ndarray, forks: np.ndarray) -> None:
+        """Nodes of the parts: their parents' skips and the candidates at forks (-1: a root)."""
+        n, sizes = len(parts), self.sizes.all[parts]
+        rows, up, edge, skips = np.arange(n), parents, forks, []
+        while len(go := np.flatnonzero(edge >= 0)):
+            rows, up, edge = rows[go], up[go], edge[go]
+            skips.append(rows << 18 | self.code.all[edge])
+            up, edge = self.parent.all[up], self.fork.all[up]
+        skips = np.sort(np.concatenate([*skips, [-1]]))
+
+        def skip(row: np.ndarray, *place: np.ndarray) -> np.ndarray:
+            want = _code(row, *place)
+            return skips[np.searchsorted(skips, want, "right") - 1] == want
+
+        met = [] if self.rate > 0 else None
+        ids, counts = _run(self.pieces, self.symbols.all[_ragged(self.first.all[parts], sizes)], sizes, skip, lambda _, own: agenda(self.pieces, own, 0, 0.0), met)
+        self.part.add(parts)
+        self.parent.add(parents)
+        self.fork.add(forks)
+        self.start.add(self.pool.n + np.cumsum(counts) - counts)
+        self.size.add(counts)
+        self.pool.add(ids)
+        row, *place = [np.concatenate(x) for x in zip(*met, strict=True)] if met else [np.zeros(0, np.int64)] * 4
+        order = np.argsort(row, kind="stable")
+        row, place = row[order], [x[order] for x in place]
+        code = _code(row, *place)
+        # a child lists what it meets behind its fork; up to there it is its parent's run
+        passed = np.full(n, -1)
+        last = np.flatnonzero(code == np.where(forks >= 0, np.arange(n) << 18 | self.code.all[forks], -1)[row])
+        passed[row[last]] = last
+        left = np.flatnonzero(np.arange(len(row)) > passed[row])
+        counts = np.bincount(row[left], minlength=n)
+        self.met.add(self.child.n + np.cumsum(counts) - counts)
+        self.n_met.add(counts)
+        self.code.add(code[left] & (1 << 18) - 1)
+        self.place.add(placed(*[x[left] for x in place]))
+        self.child.add(np.full(len(left), -1))
+
     def _symbols(self, parts: list[str], variants: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(symbols, sizes, keys) of the parts: a piece a character; other characters, and a literal
         space mark, as byte pieces -2 - id, which merge with nothing."""

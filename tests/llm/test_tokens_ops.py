@@ -149,3 +149,30 @@ def test_side_by_side_equals_the_heap():
     for n, m, key in zip(sizes, counts, keys, strict=True):
         assert merge_dropout.agenda(encoder.pieces, symbols[a : a + n].tolist(), int(key), 0.3).tolist() == ids[b : b + m].tolist()
         a, b = a + n, b + m
+
+
+def test_each_occurrence_draws_anew(monkeypatch):
+    encoder = merge_dropout.encoder()  # the production parameters
+    text = " ".join(["theory"] * 50 + ["internationalisation"] * 50 + ["日本語"])
+    many = encoder.encode(list(range(100)), [text] * 100)
+    assert all(encoder.decode(x) == text.encode() for x in many)
+    short, long = Counter(), Counter()
+    for ids in many:
+        names = [encoder.pieces.names[i] for i in ids]
+        starts = [k for k, x in enumerate(names) if x.startswith("▁")]
+        cuts = [tuple(names[a:b]) for a, b in zip(starts, [*starts[1:], len(names)], strict=True)]
+        assert len(cuts) == 101
+        short.update(cuts[:50])
+        long.update(cuts[50:100])
+    assert len(short) > 10 and len(long) > 50  # two keys a part gave two at most
+    plain = merge_dropout.Encoder(public_tokenizers.path(merge_dropout.MODEL), 0.0, 1, 0).encode([0], ["theory"])[0]
+    share = short[tuple(encoder.pieces.names[i] for i in plain)] / 5000
+    assert 0.3 < share < 0.95
+    # cached and direct runs agree, whatever the cache holds
+    monkeypatch.setattr(merge_dropout, "TREE", 0)
+    direct = merge_dropout.Encoder(public_tokenizers.path(merge_dropout.MODEL), merge_dropout.RATE, merge_dropout.SEED, merge_dropout.VARIANTS)
+    rows = [*MARKED, text]
+    assert [x.tolist() for x in encoder.encode(list(range(len(rows))), rows)] == [x.tolist() for x in direct.encode(list(range(len(rows))), rows)]
+    monkeypatch.undo()
+    monkeypatch.setattr(merge_dropout, "MOST_CANDIDATES", 10)  # the cache starts anew again and again
+    assert [encoder.encode([k], [x])[0].tolist() for k, x in enumerate(rows)] == [x.tolist() for x in direct.encode(list(range(len(rows))), rows)]
