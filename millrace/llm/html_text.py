@@ -5,8 +5,8 @@ longer path prefix, their text lines (blocks) are aligned by a longest common su
 lines are deleted. Differencing alone cannot tell a page's own advert from its article, nor an article
 passage that two pages share from a menu. So lines carry a zone read from the markup: lines of menus,
 headers, footers, sidebars, notices, adverts, forms and reader comments always go, lines inside
-<article> or <main> always stay, and differencing decides on all others of a page without such a
-container. (README: choice of method.)
+<article> or <main> always stay, and differencing decides on all others, beside such a container too.
+(README: choice of method.)
 
 Neighbours are found by a sort over ranges of (host, path, page_id) with the edge rows of each range
 copied to the next, so a host with most pages is dealt out like any other.
@@ -171,11 +171,9 @@ def shared(a: list[str], b: list[str]) -> set[int]:
 
 def main_text(page: list[tuple[str, int]], partner: list[tuple[str, int]] | None) -> str:
     """The page's own lines, joined by blank lines."""
-    if any(zone == MAIN for _, zone in page):
-        return "\n\n".join(text for text, zone in page if zone == MAIN)
     texts = [text for text, _ in page]
     gone = shared(texts, [text for text, _ in partner]) if partner else set()
-    kept = [text for k, (text, zone) in enumerate(page) if zone == OPEN and k not in gone]
+    kept = [text for k, (text, zone) in enumerate(page) if zone == MAIN or (zone == OPEN and k not in gone)]
     if not kept and len(gone) == len(texts):
         kept = [text for text, zone in page if zone == OPEN]
     return "\n\n".join(kept)

@@ -173,6 +173,13 @@ def test_pages(spark):
     assert html_text.extract(twice.unionByName(twice)).count() == 4
 
 
+def test_differencing_beside_a_container(spark):
+    page = lambda lead, *cards: f"<body><p>Site name</p><div class='story'><p>{lead}</p></div><nav>menu {lead}</nav>" + "".join(f"<article><p>{x}</p></article>" for x in cards) + "<p>All rights</p>"
+    pages = [(1, "https://a.org/1", page("lead one", "card", "card 1")), (2, "https://a.org/2", page("lead two", "card", "card 2")), (3, "https://b.org/1", page("alone", "own"))]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {1: "lead one\n\ncard\n\ncard 1", 2: "lead two\n\ncard\n\ncard 2", 3: "Site name\n\nalone\n\nown\n\nAll rights"}
+
+
 def test_language(spark):
     rng = random.Random(6)
     tongues = {"en": "the and of house with that", "de": "der und das haus mit nicht", "fr": "le et la maison avec que"}
