@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -27,22 +28,21 @@ def unstored(found: DataFrame, corpus: DataFrame) -> DataFrame:
     return found.join(corpus.select("id"), "id", "left_anti").dropDuplicates(["id"])
 
 
-#: Query vectors that one job may carry; they are sent to every task.
+#: Query vectors of a block; each block is sent to every task of its own pass over the corpus.
 MOST_QUERIES = 4096
 
 
 def similar(corpus: DataFrame, queries: DataFrame, floor: float = FLOOR, per_url: int = PER_URL, limit: int = LIMIT, domains: list[str] | None = None, vec: str = "vec") -> DataFrame:
     """(query_id, id, url, score, rank_pos): the nearest passages above the floor, few per url.
 
-    queries: (query_id, vec), at most MOST_QUERIES rows, checked. Scores come from one matrix product
-    per Arrow batch; each task returns only rows that can still be among its own best, so what is
-    shuffled is bounded by tasks x queries x limit x urls, not by the corpus.
+    queries: (query_id, vec), any number, taken in blocks of MOST_QUERIES; beyond one block they are read
+    partition by partition, and only the block at hand is held by the driver. Scores come from one matrix
+    product per Arrow batch and block; each task returns only rows that can still be among its own best,
+    so what is shuffled is bounded by tasks x queries x limit x urls, not by the corpus.
     """
-    wanted = queries.select("query_id", "vec").limit(MOST_QUERIES + 1).collect()
-    if len(wanted) > MOST_QUERIES:
-        raise ValueError(f"over {MOST_QUERIES} queries: split them into several jobs")
-    names = [x["query_id"] for x in wanted]
-    matrix = np.array([x["vec"] for x in wanted], np.float64).T
+    wanted = queries.select("query_id", "vec")
+    first = wanted.limit(MOST_QUERIES + 1).collect()
+    blocks = [first] if len(first) <= MOST_QUERIES else _blocks(wanted.toLocalIterator())
     if domains:
         test = F.lit(False)
         for d in domains:
@@ -50,7 +50,26 @@ def similar(corpus: DataFrame, queries: DataFrame, floor: float = FLOOR, per_url
         corpus = corpus.filter(test)
     kind = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {corpus.schema['id'].dataType.simpleString()}, url {corpus.schema['url'].dataType.simpleString()}, score double"
 
+    rows, found = corpus.select("id", "url", F.col(vec)).filter(F.col(vec).isNotNull()), []
+    for block in blocks:
+        sent = corpus.sparkSession.sparkContext.broadcast(([x["query_id"] for x in block], np.array([x["vec"] for x in block], np.float64).T))
+        found.append(rows.mapInArrow(_scorer(sent, floor, per_url, limit), kind))
+    while len(found) > 1:  # a balanced tree, so many blocks make no deep plan
+        found = [a.unionByName(b) for a, b in zip(found[::2], found[1::2], strict=False)] + found[len(found) & ~1 :]
+    each = Window.partitionBy("query_id", "url").orderBy(F.col("score").desc(), "id")
+    top = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    capped = found[0].withColumn("n", F.row_number().over(each)).filter(F.col("n") <= per_url).drop("n")
+    return capped.withColumn("rank_pos", F.row_number().over(top)).filter(F.col("rank_pos") <= limit)
+
+
+def _blocks(rows: Iterator) -> Iterator[list]:
+    while block := list(islice(rows, MOST_QUERIES)):
+        yield block
+
+
+def _scorer(sent, floor: float, per_url: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, matrix = sent.value
         for batch in batches:
             if not len(batch) or not names:
                 continue
@@ -64,11 +83,7 @@ def similar(corpus: DataFrame, queries: DataFrame, floor: float = FLOOR, per_url
             at = pa.array(row[kept])
             yield pa.RecordBatch.from_arrays([pa.array([names[q] for q in query[kept]]), batch.column(0).take(at), batch.column(1).take(at), pa.array(best[kept])], names=["query_id", "id", "url", "score"])
 
-    found = corpus.select("id", "url", F.col(vec)).filter(F.col(vec).isNotNull()).mapInArrow(run, kind)
-    each = Window.partitionBy("query_id", "url").orderBy(F.col("score").desc(), "id")
-    top = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    capped = found.withColumn("n", F.row_number().over(each)).filter(F.col("n") <= per_url).drop("n")
-    return capped.withColumn("rank_pos", F.row_number().over(top)).filter(F.col("rank_pos") <= limit)
+    return run
 
 
 def _leaders(query, best, urls, row, per_url: int, limit: int) -> list[int]:

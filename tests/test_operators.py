@@ -107,6 +107,19 @@ def test_similar_matches_brute_force(spark):
     assert got == want
 
 
+def test_similar_takes_any_number_of_queries(spark, monkeypatch):
+    x = np.random.default_rng(2).normal(size=(120, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(k, f"u{k % 7}", [float(v) for v in x[k]]) for k in range(120)], "id long, url string, vec array<float>").repartition(3)
+    queries = rows.filter("id % 3 = 0").select(F.col("id").alias("query_id"), "vec")
+    answers = lambda: {(r.query_id, r.id, r.url, round(r.score, 9), r.rank_pos) for r in corpus.similar(rows, queries).collect()}
+    want = answers()
+    assert len({q for q, *_ in want}) == 40
+    for most in (39, 13, 8, 1):
+        monkeypatch.setattr(corpus, "MOST_QUERIES", most)
+        assert answers() == want
+
+
 def test_corpus_life(spark):
     pages = spark.createDataFrame([("u", "T", "word " * 600), ("v", None, None), ("w", "", "tiny")], "url string, title string, text string")
     found = corpus.passages(pages)
