@@ -11,7 +11,7 @@ are listed.
 
 Edge cases: null or wordless texts have the empty set and link with nothing; fewer words than the
 shingle width count as one shingle; ties cannot occur (doc_id decides); rows that repeat a doc_id
-give repeated results; rows without a doc_id cannot be named and are left out, as are extra
+give repeated results, each by its own text; rows without a doc_id cannot be named and are left out, as are extra
 columns; an empty table gives an empty result.
 """
 
@@ -77,7 +77,12 @@ def _sets(batch: pa.RecordBatch, text: str, width: int) -> Iterator[tuple[int, i
         yield a, b, scan.shingle_sets(scan.hashes(data, starts, ends), first, width)
 
 
-_SIGNED = "doc_id long, n_shingles long, k1 long, k2 long, " + "".join(f"{x} long, " for x in SIGNATURE) + "bands array<long>"
+def set_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """(k1, k2) of each set: 128 bits that name it."""
+    return np.array([[scan.mix(x).sum(dtype=np.uint64), scan.mix(x ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)] for x in sets], np.uint64).reshape(-1, 2).view(np.int64)
+
+
+_SIGNED = "doc_id long, text_hash long, n_shingles long, k1 long, k2 long, " + "".join(f"{x} long, " for x in SIGNATURE) + "bands array<long>"
 
 
 def signer(width: int):
@@ -87,10 +92,11 @@ def signer(width: int):
                 for a, b, sets in _sets(batch, "text", width):
                     n = np.array([len(x) for x in sets], np.int64)
                     mins = np.stack([minima(x) for x in sets])
-                    keys = np.array([[scan.mix(x).sum(dtype=np.uint64), scan.mix(x ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)] for x in sets], np.uint64).view(np.int64)
+                    keys = set_keys(sets)
                     sig, bands = packed(mins), band_keys(mins)
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
-                    yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")).slice(a, b - a), pa.array(n), pa.array(keys[:, 0]), pa.array(keys[:, 1]), *[pa.array(np.ascontiguousarray(sig[:, j])) for j in range(len(SIGNATURE))], lists], names=["doc_id", "n_shingles", "k1", "k2", *SIGNATURE, "bands"])
+                    own = [batch.column(batch.schema.get_field_index(x)).slice(a, b - a) for x in ("doc_id", "text_hash")]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(n), pa.array(keys[:, 0]), pa.array(keys[:, 1]), *[pa.array(np.ascontiguousarray(sig[:, j])) for j in range(len(SIGNATURE))], lists], names=["doc_id", "text_hash", "n_shingles", "k1", "k2", *SIGNATURE, "bands"])
 
     return run
 
@@ -103,8 +109,8 @@ FINE_MARGIN = 0.06  # over 4.5 standard deviations, sqrt(C (1 - C) / FINE) / (1
 _FINE_SEEDS = scan.stream(202, 2 * FINE)
 _FA = (_FINE_SEEDS[:FINE] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _FC = (_FINE_SEEDS[FINE:] >> np.uint64(32)).astype(np.uint32)
-_PLACE = "rep long, path string, at long, size long, "
-_SET_ROW = pa.schema([("rep", pa.int64()), ("path", pa.string()), ("at", pa.int64()), ("size", pa.int64()), *[(x, pa.int64()) for x in FINE_SIGNATURE]])
+_PLACE = "doc_id long, k1 long, k2 long, path string, at long, size long, "
+_SET_ROW = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("path", pa.string()), ("at", pa.int64()), ("size", pa.int64()), *[(x, pa.int64()) for x in FINE_SIGNATURE]])
 
 
 def _fine(x: np.ndarray) -> np.ndarray:
@@ -128,7 +134,8 @@ def storer(width: int, words, folder: str):
                         files, name = opened(path)
                         files.create_dir(name.rpartition("/")[0], recursive=True)
                         out = files.open_output_stream(name)
-                    rows = {"rep": batch.column(0).slice(a, b - a).to_pylist(), "path": [path] * (b - a), "at": [], "size": [len(x) for x in sets]}
+                    keys = set_keys(sets)
+                    rows = {"doc_id": batch.column(0).slice(a, b - a).to_pylist(), "k1": keys[:, 0], "k2": keys[:, 1], "path": [path] * (b - a), "at": [], "size": [len(x) for x in sets]}
                     for x in sets:
                         rows["at"].append(at)
                         out.write(x.tobytes())
@@ -204,26 +211,36 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     Links join documents whose shingle sets have ``100 * intersection >= percent * union``. The
     banding finds a pair of similarity 0.8 with probability 1 - 3e-6; percent under 80 lowers that.
     """
+    return _classes(docs, width, percent).drop("text_hash")
+
+
+def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """classes() with text_hash, which tells the texts of one doc_id apart."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).filter("doc_id is not null")
     signed = staged(texts.mapInArrow(signer(width), _SIGNED), "signed")
     keys = ["n_shingles", "k1", "k2"]
     n_docs = signed.count()
-    full = signed.filter("n_shingles > 0")
-    groups = staged(full.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("group_size")), "groups", n_docs)
-    reps = staged(groups.select(F.col("rep").alias("doc_id"), *[F.col(k).alias(f"own_{k}") for k in keys]).join(full, "doc_id").filter(" and ".join(f"{k} = own_{k}" for k in keys)).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), *SIGNATURE, "bands"), "reps", n_docs)
+    full = signed.filter("n_shingles > 0").drop("text_hash")
+    # a group has a number of its own: its smallest doc_id may stand in another group too
+    groups = full.groupBy(*keys).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("group_size")).withColumn("rep", F.monotonically_increasing_id())
+    groups = staged(groups, "groups", n_docs)
+    reps = groups.select("rep", F.col("least").alias("doc_id"), *[F.col(k).alias(f"own_{k}") for k in keys]).join(full, "doc_id").filter(" and ".join(f"{k} = own_{k}" for k in keys)).dropDuplicates(["rep"])
+    reps = staged(reps.select("rep", "doc_id", F.col("n_shingles").alias("n"), "k1", "k2", *SIGNATURE, "bands"), "reps", n_docs)
     tidy(spark)
-    roots = _links(spark, texts, reps, width, percent)
-    groups = groups.join(roots, "rep", "left").select(*keys, F.coalesce("component", "rep").alias("component_id"), "group_size")
-    out = join_groups(signed.select("doc_id", *keys), groups, keys, ["component_id"], n_docs, F.xxhash64("doc_id"))
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    roots = groups.select("rep", "least").join(_links(spark, texts.drop("text_hash"), reps, width, percent), "rep")
+    named = roots.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("group_size"))
+    roots = join_groups(roots, named, ["component"], ["component_id"], n_docs, F.xxhash64("rep")).select("rep", "component_id")
+    groups = staged(groups.join(roots, "rep", "left").select(*keys, F.coalesce("component_id", "least").alias("component_id"), "group_size"), "named", n_docs)
+    out = join_groups(signed.select("doc_id", "text_hash", *keys), groups, keys, ["component_id"], n_docs, F.xxhash64("doc_id"))
+    out = out.select("doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def keep(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each class, all columns as they are: that with the smallest doc_id."""
-    gone = classes(docs, width, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("__id"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    gone = _classes(docs, width, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"))
+    return docs.join(gone, (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64("text") == F.col("__text")), "left_anti")
 
 
 def _links(spark, texts: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
@@ -251,7 +268,8 @@ def _links(spark, texts: DataFrame, reps: DataFrame, width: int, percent: int) -
         tidy(spark)
         if sets is None:
             n_sets = found.count()
-            sets = _stored(spark, texts, found.select("rep"), n_sets, width)
+            wanted = staged(reps.select("rep", "doc_id", F.col("n").alias("size"), "k1", "k2").join(found.select("rep"), "rep"), "wanted", n_sets)
+            sets = _stored(spark, texts, wanted, n_sets, width)
             keyed = staged(sets.join(reps.select("rep", *[F.col("bands")[j].alias(b) for j, b in enumerate(BAND_KEYS)]), "rep").withColumnRenamed("size", "n"), "keyed", n_sets)
         if hubs_each:  # of a cell the smallest component's first member
             sizes = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("rep"))
@@ -305,10 +323,11 @@ def _moved(rows: DataFrame, moved: DataFrame, column: str, most: int) -> DataFra
 
 
 def _stored(spark, texts: DataFrame, wanted: DataFrame, n: int, width: int) -> DataFrame:
-    """Where the full sets of the wanted documents lie, with fine signatures, from a second reading."""
-    words = spark.sparkContext.broadcast(bloom.build(wanted, "rep", n))
+    """Where the full sets of the wanted (rep, doc_id, size, k1, k2) lie, with fine signatures, from a second reading."""
+    words = spark.sparkContext.broadcast(bloom.build(wanted, "doc_id", n))
     rows = texts.mapInArrow(storer(width, words, new_folder(spark, "sets")), _PLACE + ", ".join(f"{x} long" for x in FINE_SIGNATURE))
-    out = staged(rows.dropDuplicates(["rep"]), "sets", n)
+    names = ["doc_id", "size", "k1", "k2"]  # one doc_id may have several texts
+    out = staged(rows.dropDuplicates(names).join(wanted, names).select("rep", "path", "at", "size", *FINE_SIGNATURE), "sets", n)
     words.unpersist()
     return out
 

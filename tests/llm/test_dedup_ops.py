@@ -117,6 +117,25 @@ def test_classes_edges(spark):
     assert minhash.keep(lone).count() == 3
 
 
+def test_minhash_texts_of_one_doc_id(spark):
+    rng = random.Random(9)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    some, near = [], []
+    for k in range(12):  # doc_id k has three texts of its own; each has a near copy of another doc_id
+        for j in range(3):
+            x = text()
+            some.append((k, x))
+            near.append((100 + 3 * k + j, x + " end"))
+    rows = some + near + [(200, some[0][1]), (0, some[4][1])]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    got = minhash.classes(docs).collect()
+    want = [(k, k) for k in range(12) for _ in range(3)] + [(100 + 3 * k + j, k) for k in range(12) for j in range(3)] + [(200, 0), (0, 0)]
+    want[4], want[12 * 3 + 4] = (1, 0), (104, 0)
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted(want)
+    # only the text that has a copy with a smaller doc_id goes, not the others of its doc_id
+    assert sorted((r.doc_id, r.text) for r in minhash.keep(docs).collect()) == sorted([*some[:4], *some[5:], (0, some[4][1])])
+
+
 def test_estimate_is_close(spark):
     rng = np.random.default_rng(3)
     x = rng.integers(0, 2**63, 1000).astype(np.uint64)
