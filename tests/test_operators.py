@@ -272,3 +272,9 @@ def test_small_pieces(spark):
     assert [fetch.render_mode(x) for x in (None, True, False, "first")] == ["auto", "auto", "never", "first"]
     with pytest.raises(ValueError):
         fetch.render_mode("often")
+
+
+def test_anchors_read_every_kind_of_value(spark):
+    html = """<a href="/a">A</a> <a class='x' href='/b?q="1"'>B</a> <a href=/c>C</a> <a title="the href=no" HREF = /d class=y>D</a> <a title='x' href='#e'>E</a> <a data-x=it's href="/f">F</a>"""
+    got = extract.anchors(spark.createDataFrame([("https://x.org/p", html), ("https://x.org/q", None)], "url string, html string")).collect()
+    assert [(r.pos, r.href, r.label) for r in sorted(got, key=lambda r: r.pos)] == [(0, "/a", "A"), (1, '/b?q="1"', "B"), (2, "/c", "C"), (3, "/d", "D"), (5, "/f", "F")]
