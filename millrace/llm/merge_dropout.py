@@ -11,7 +11,9 @@ outcome depends only on which of the candidates it meets are skipped, so the cac
 each part of up to TREE symbols: a node is the run with a given set of skips, and lists the candidates
 met since the last of them; an occurrence goes to the child of the first one that it skips, until it
 skips none. Missing nodes run through their agendas side by side, one merge a round each, in numpy.
-Longer and rarer parts run once for each occurrence. The cache is bounded and changes no result.
+Longer and rarer parts run once for each occurrence; wide ones first fall apart where no piece holds two
+neighbouring characters, as no merge reaches across. The cache is bounded and changes no result, and
+texts of many megabytes are encoded in blocks that begin with a part.
 
 Edge cases: null and empty texts have no ids and decode to the empty text; characters without a piece,
 and the space mark itself, become byte pieces, so every text decodes to itself; rows that repeat a
@@ -21,10 +23,12 @@ out; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import heapq
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import public_tokenizers
@@ -80,15 +84,23 @@ class Pieces:
                     merged.append(i)
         at = np.argsort(np.array(keys))
         self.keys, self.ranks, self.merged = np.array(keys, np.int64)[at], np.array(ranks, np.int32)[at], np.array(merged, np.int32)[at]
-        # open addressing: slots hold the number of a merge, -1 where free
-        self.slots = np.full(1 << 20, -1, np.int32)
+        # open addressing: a slot holds a pair's key (-1: free), its rank and the piece it becomes
+        self._merges: dict[int, tuple[int, int]] | None = None
+        self.slot_keys, self.slot_ranks, self.slot_pieces = np.full(1 << 20, -1, np.int64), np.full(1 << 20, _NEVER, np.int32), np.zeros(1 << 20, np.int32)
         rest, self.probes = np.arange(len(at)), 0
         while len(rest):
             slot = self._slot(self.keys[rest], self.probes)
-            free = self.slots[slot] < 0
-            self.slots[slot[free]] = rest[free]
-            rest = rest[self.slots[slot] != rest]
+            free = self.slot_keys[slot] < 0
+            self.slot_keys[slot[free]] = self.keys[rest[free]]
+            rest = rest[self.slot_keys[slot] != self.keys[rest]]
             self.probes += 1
+        for probe in range(self.probes):
+            slot = self._slot(self.keys, probe)
+            mine = self.slot_keys[slot] == self.keys
+            self.slot_ranks[slot[mine]], self.slot_pieces[slot[mine]] = self.ranks[mine], self.merged[mine]
+        # neighbours inside some piece; between any other two characters no merge can reach
+        inside = {(x, y) for piece in self.ids for x, y in pairwise(piece)}
+        self.inside = np.sort(np.array([self.ids[x] << 16 | self.ids[y] for x, y in inside if x in self.ids and y in self.ids], np.int64))
         shown = set(normal)
         raw = [bytes([int(x[3:5], 16)]) if own.is_byte(i) else x.replace(MARK, " ").encode() if i in shown else b"" for i, x in enumerate(self.names)]
         self.sizes = np.array([len(x) for x in raw], np.int64)
@@ -96,24 +108,38 @@ class Pieces:
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
 
     def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rank, merged piece) of each pair; rank _NEVER where the two do not merge."""
+        """(rank, merged piece) of each pair; rank _NEVER where the two do not merge. A negative symbol
+        makes a negative key, which no pair has."""
         key = left.astype(np.int64) << 16 | right
-        key[(left < 0) | (right < 0)] = -1
-        at = self.slots[self._slot(key, 0)]
-        good = (at >= 0) & (self.keys[at] == key)
-        rest = np.flatnonzero((at >= 0) & ~good & (key >= 0))
+        at = self._slot(key, 0)
+        held = self.slot_keys[at]
+        ranks, merged = np.where(held == key, self.slot_ranks[at], _NEVER), self.slot_pieces[at]
+        rest = np.flatnonzero((held >= 0) & (held != key) & (key >= 0))
         for probe in range(1, self.probes):
             if not len(rest):
                 break
-            other = self.slots[self._slot(key[rest], probe)]
-            same = (other >= 0) & (self.keys[other] == key[rest])
-            at[rest[same]], good[rest[same]] = other[same], True
-            rest = rest[(other >= 0) & ~same]
-        return np.where(good, self.ranks[at], _NEVER), self.merged[at]
+            at = self._slot(key[rest], probe)
+            held = self.slot_keys[at]
+            same = held == key[rest]
+            ranks[rest[same]], merged[rest[same]] = self.slot_ranks[at[same]], self.slot_pieces[at[same]]
+            rest = rest[(held >= 0) & ~same]
+        return ranks, merged
+
+    def merges(self) -> dict[int, tuple[int, int]]:
+        """(rank, merged piece) by pair."""
+        if self._merges is None:
+            self._merges = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.merged.tolist(), strict=True), strict=True))
+        return self._merges
+
+    def cuts(self, symbols: np.ndarray) -> np.ndarray:
+        """Where a run of symbols falls apart: no piece holds the two characters there side by side."""
+        key = symbols[:-1].astype(np.int64) << 16 | symbols[1:]
+        near = self.inside[np.minimum(np.searchsorted(self.inside, key), len(self.inside) - 1)] == key
+        return np.flatnonzero(~near) + 1
 
     def _slot(self, key: np.ndarray, probe: int) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64) + probe) & (len(self.slots) - 1)
+            return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64) + probe) & ((1 << 20) - 1)
 
 
 def skipped(rate: float, key: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -135,6 +161,27 @@ def drawn(rate: float, key: np.ndarray, place: np.ndarray) -> np.ndarray:
         return (scan.mix(key + place) >> np.uint64(11)) < np.uint64(rate * 2.0**53)
 
 
+_64 = (1 << 64) - 1
+
+
+def _mix(x: int) -> int:
+    """scan.mix() of one value."""
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & _64
+    return x ^ x >> 31
+
+
+def _draw(rate: float, key: int) -> Callable[[int, int, int], bool]:
+    """skipped() of single candidates of one part."""
+    bound = int(rate * 2.0**53)
+
+    def one(start: int, middle: int, end: int) -> bool:
+        place = _mix((((start << 42) ^ (middle << 21) ^ end) + 1) * 0x9E3779B97F4A7C15 & _64)
+        return bound > 0 and _mix((key + place) & _64) >> 11 < bound
+
+    return one
+
+
 _WEIGHTS = scan.stream(77, 1 << 12) | np.uint64(1)
 
 
@@ -149,109 +196,132 @@ def part_keys(points: np.ndarray, sizes: np.ndarray, seed: int, variants: np.nda
 
 def segment(pieces: Pieces, symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
     """(ids, sizes) of all parts in a row: their agendas advance together, each by its best merge a round."""
-    return _run(pieces, symbols, sizes, lambda row, *place: skipped(rate, keys[row], *place), lambda i, own: agenda(pieces, own, int(keys[i]), rate))
+    return _run(pieces, symbols, sizes, lambda row, *place: skipped(rate, keys[row], *place), lambda i: _draw(rate, int(keys[i])))
 
 
-def _run(pieces: Pieces, symbols: np.ndarray, sizes: np.ndarray, skip: Callable, wide: Callable | None, met: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """segment() with any skip(rows, start, middle, end); met receives the candidates of each row in their order."""
-    first = np.cumsum(sizes) - sizes
-    counts, blocks, owners = np.zeros(len(sizes), np.int64), [], []
+def _run(pieces: Pieces, symbols: np.ndarray, sizes: np.ndarray, skip: Callable, one: Callable, met: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """segment() with any skip(rows, start, middle, end), for a single candidate one(row)(start, middle,
+    end); met receives the candidates of each row in their order."""
+    ends = np.cumsum(sizes)
+    first, lengths, owner, base = ends - sizes, sizes, np.arange(len(sizes)), np.zeros(len(sizes), np.int64)
+    if (wide := np.flatnonzero(sizes > WIDE)).size:  # runs of their own between the cuts of a wide part
+        more = [first[i] + pieces.cuts(symbols[first[i] : ends[i]]) for i in wide]
+        first = np.sort(np.concatenate([first, *more]))
+        owner = np.searchsorted(ends, first, "right")
+        lengths, base = np.diff(first, append=len(symbols)), first - (ends - sizes)[owner]
+    counts, blocks, owners = np.zeros(len(first), np.int64), [], []
     low = 0
-    for high in (8, 12, 18, 28, WIDE):
-        rows = np.flatnonzero((sizes > low) & (sizes <= high))
+    for high in (5, 8, 12, 18, 28, WIDE):
+        rows = np.flatnonzero((lengths > low) & (lengths <= high))
         low = high
         for some in np.split(rows, range(1 << 14, len(rows), 1 << 14)):
             if len(some):
-                ids, count = _side_by_side(pieces, symbols, first[some], sizes[some], some, skip, high, met)
+                ids, count = _side_by_side(pieces, symbols, first[some], lengths[some], owner[some], base[some], skip, high, met)
                 counts[some] = count
                 blocks.append(ids)
                 owners.append(np.repeat(some, count))
-    for i in np.flatnonzero(sizes > WIDE):
-        found = wide(i, symbols[first[i] : first[i] + sizes[i]].tolist())
+    for i in np.flatnonzero(lengths > WIDE):
+        own = owner[i]
+        found = agenda(pieces, symbols[first[i] : first[i] + lengths[i]], int(base[i]), lambda *place, own=own: skip(np.full(len(place[0]), own), *place), one(own))
         counts[i] = len(found)
         blocks.append(found)
         owners.append(np.full(len(found), i))
+    counted = np.bincount(owner, counts, len(sizes)).astype(np.int64)
     if not blocks:
-        return np.zeros(0, np.int32), counts
-    return np.concatenate(blocks)[np.argsort(np.concatenate(owners), kind="stable")], counts
+        return np.zeros(0, np.int32), counted
+    return np.concatenate(blocks)[np.argsort(np.concatenate(owners), kind="stable")], counted
+
 
+_GONE = np.int32(-(2**31))
 
-def _side_by_side(pieces: Pieces, symbols: np.ndarray, first: np.ndarray, lengths: np.ndarray, owner: np.ndarray, skip: Callable, width: int, met: list | None) -> tuple[np.ndarray, np.ndarray]:
-    def offered(found: np.ndarray, row: np.ndarray, *place: np.ndarray) -> np.ndarray:
+
+def _side_by_side(pieces: Pieces, symbols: np.ndarray, first: np.ndarray, lengths: np.ndarray, owner: np.ndarray, base: np.ndarray, skip: Callable, width: int, met: list | None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of at most ``width`` symbols, a piece in the cell of its first symbol and linked to its neighbours."""
+    n, far = len(first), int(base.max())
+    col = np.arange(width, dtype=np.int32)
+    mask = (col < lengths[:, None]).ravel()
+    ids = np.full(n * width, _GONE, np.int32)
+    ids[mask] = symbols[_ragged(first, lengths)]
+    after, before = np.tile(col + 1, n), np.tile(col - 1, n)
+    rank, piece = np.full(n * width, _NEVER, np.int32), np.empty(n * width, np.int32)
+
+    def offer(row: np.ndarray, cell: np.ndarray, right: np.ndarray) -> None:
+        """Put the pairs of each cell with the one to its right on the agenda, but those skipped."""
+        found, joined = pieces.find(ids[cell], ids[right])
         good = np.flatnonzero(found != _NEVER)
-        row, place = owner[row[good]], [x[good] for x in place]
+        row, cell, right, found = row[good], cell[good], right[good], found[good]
+        start = row * width
+        place = [cell - start, right - start, after[right]]
+        if far:
+            place = [x + base[row] for x in place]
+        row = owner[row]
         if met is not None:
             met.append((row, *place))
-        found[good[skip(row, *place)]] = _NEVER
-        return found
-
-    n = len(first)
-    col = np.arange(width + 1, dtype=np.int32)[None, :]
-    mask = col < lengths[:, None]
-    ids = np.full((n, width + 1), -1, np.int32)
-    ids[mask] = symbols[(first[:, None] + col)[mask]]
-    start = np.tile(col, (n, 1))  # first symbol of each piece
-    count = lengths.copy()
-    rank = np.full((n, width + 1), _NEVER, np.int32)
-    r, c = np.nonzero(mask[:, 1:])
-    found, _ = pieces.find(ids[r, c], ids[r, c + 1])
-    rank[r, c] = offered(found, r, c, c + 1, c + 2)
-    live = np.arange(n)
+        found[skip(row, *place)] = _NEVER
+        rank[cell], piece[cell] = found, joined[good]
+
+    cell = np.flatnonzero(mask[:-1] & mask[1:] & (np.arange(1, n * width) % width != 0))
+    offer(cell // width, cell, cell + 1)
+    live, table = np.arange(n), rank.reshape(n, width)
     while True:
-        best = rank[live].argmin(axis=1)
-        go = rank[live, best] != _NEVER
-        live, best = live[go], best[go]
+        cell = live * width + table[live].argmin(axis=1)
+        go = rank[cell] != _NEVER
+        live, cell = live[go], cell[go]
         if not len(live):
-            return ids[col < count[:, None]], count
-        mine, begun, ranks, left = ids[live], start[live], rank[live], count[live] - 1
-        row = np.arange(len(live))
-        _, joined = pieces.find(mine[row, best], mine[row, best + 1])
-        # close the gap behind each merge
-        take = np.minimum(col + (col > best[:, None]), width)
-        mine, begun, ranks = mine[row[:, None], take], begun[row[:, None], take], ranks[row[:, None], take]
-        mine[row, best] = joined
-        mine[row, left] = -1
-        ranks[row, np.maximum(left - 1, 0)] = _NEVER
-        for side in (-1, 0):  # the pairs on both sides of the new piece
-            at = best + side
-            use = np.flatnonzero((at >= 0) & (at + 1 < left))
-            a = at[use]
-            found, _ = pieces.find(mine[use, a], mine[use, a + 1])
-            after = np.where(a + 2 < left[use], begun[use, np.minimum(a + 2, width)], lengths[live[use]])
-            ranks[use, a] = offered(found, live[use], begun[use, a], begun[use, a + 1], after)
-        ids[live], start[live], rank[live], count[live] = mine, begun, ranks, left
-
-
-def agenda(pieces: Pieces, symbols: list[int], key: int, rate: float) -> np.ndarray:
-    """The same for one part of any length, with a heap and links between neighbours."""
-    import heapq
-
+            left = ids != _GONE
+            return ids[left], np.bincount(np.flatnonzero(left) // width, minlength=n)
+        start = live * width
+        right = start + after[cell]
+        ids[cell], ids[right] = piece[cell], _GONE
+        rank[cell] = rank[right] = _NEVER
+        after[cell] = after[right]
+        inner = np.flatnonzero(after[cell] < lengths[live])
+        behind = (start + after[cell])[inner]
+        before[behind] = (cell - start)[inner]
+        ahead = np.flatnonzero(before[cell] >= 0)
+        front = (start + before[cell])[ahead]
+        rank[front] = _NEVER
+        offer(np.concatenate([live[ahead], live[inner]]), np.concatenate([front, cell[inner]]), np.concatenate([cell[ahead], behind]))
+
+
+def agenda(pieces: Pieces, symbols: np.ndarray, base: int, skip: Callable, one: Callable) -> np.ndarray:
+    """The same for one run of any length, with a heap and links between neighbours.
+
+    base: the run's place in its part; one(start, middle, end): skip() of a single candidate. The heap
+    holds rank and cell as one number; a candidate whose pair has changed since is told by its rank.
+    """
     n = len(symbols)
-    ids, ends = list(symbols), [*range(1, n + 1)]
-    left, right = [*range(-1, n - 1)], [*range(1, n + 1)]
-    heap: list[tuple[int, int, int, int, int]] = []
-
-    def offer(a: int) -> None:
-        b = right[a]
-        if a < 0 or b >= n:
-            return
-        rank, piece = pieces.find(np.array([ids[a]]), np.array([ids[b]]))
-        if rank[0] != _NEVER and not skipped(rate, np.array([key], np.uint64), np.array([a]), np.array([b]), np.array([ends[b]]))[0]:
-            heapq.heappush(heap, (int(rank[0]), a, ids[a], ids[b], int(piece[0])))
-
-    for a in range(n - 1):
-        offer(a)
+    ids, after, before = symbols.astype(np.int32), np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    merges, size = pieces.merges(), n + 1
+    found, _ = pieces.find(ids[:-1], ids[1:])
+    cell = np.flatnonzero(found != _NEVER)
+    cell = cell[~skip(cell + base, cell + base + 1, cell + base + 2)]
+    heap = (found[cell].astype(np.int64) * size + cell).tolist()
+    heapq.heapify(heap)
+
+    def now(a: int) -> tuple[int, int]:
+        """(rank, piece) of the pair at a; rank -1 for none, or a skipped one."""
+        b = int(after[a])
+        if b >= n:
+            return -1, 0
+        pair = merges.get(int(ids[a]) << 16 | int(ids[b])) if ids[a] >= 0 and ids[b] >= 0 else None
+        return (-1, 0) if pair is None or one(a + base, b + base, int(after[b]) + base) else pair
+
     while heap:
-        _, a, x, y, piece = heapq.heappop(heap)
-        if ids[a] != x or (b := right[a]) >= n or ids[b] != y:
+        rank, a = divmod(heapq.heappop(heap), size)
+        if ids[a] == _GONE:
+            continue
+        same, piece = now(a)
+        if same != rank:
             continue
-        ids[a], ids[b], ends[a], right[a] = piece, None, ends[b], right[b]
-        if right[b] < n:
-            left[right[b]] = a
-        if left[a] >= 0:
-            offer(left[a])
-        offer(a)
-    return np.array([x for x in ids if x is not None], np.int32)
+        b = after[a]
+        ids[a], ids[b], after[a] = piece, _GONE, after[b]
+        if after[a] < n:
+            before[after[a]] = a
+        for c in (int(before[a]), a):
+            if c >= 0 and (rank := now(c)[0]) >= 0:
+                heapq.heappush(heap, rank * size + c)
+    return ids[ids != _GONE]
 
 
 def _code(row: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -294,10 +364,10 @@ class Encoder:
         self.code, self.place, self.child = _Rows(np.int32), _Rows(np.uint64), _Rows(np.int64)
         self.pool = _Rows(np.int32)
 
-    def encode(self, doc_ids: list[int], texts: list[str]) -> list[np.ndarray]:
-        """Piece ids of whole texts."""
+    def encode(self, doc_ids: list[int], texts: list[str], places: list[int] | None = None) -> list[np.ndarray]:
+        """Piece ids of whole texts; with places, of blocks() and the numbers of their first parts."""
         # a space opens the next part; further spaces before it stay with it
-        split = [_parts(t) for t in texts]
+        split = [_parts(t) for t in texts] if places is None else [_split(t[1:]) for t in texts]
         if self.root.n > MOST_PARTS or self.child.n > MOST_CANDIDATES:
             self._clear()
         numbers = self.numbers
@@ -316,7 +386,8 @@ class Encoder:
         first = np.cumsum([0, *lengths])
         with np.errstate(over="ignore"):
             who = np.repeat(scan.mix(np.array(doc_ids, np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(self.seed)), lengths)
-            where = np.arange(len(flat), dtype=np.uint64) - np.repeat(first[:-1].astype(np.uint64), lengths)
+            begin = first[:-1] - (0 if places is None else np.array(places, np.int64))
+            where = (np.arange(len(flat)) - np.repeat(begin, lengths)).astype(np.uint64)
             keys = scan.mix(scan.mix(who + where) ^ who)
             if self.variants:
                 keys = scan.mix(self.hashes.all[flat] + keys % np.uint64(self.variants) * np.uint64(0xD1B54A32D192ED03))
@@ -377,7 +448,7 @@ class Encoder:
             return skips[np.searchsorted(skips, want, "right") - 1] == want
 
         met = [] if self.rate > 0 else None
-        ids, counts = _run(self.pieces, self.symbols.all[_ragged(self.first.all[parts], sizes)], sizes, skip, lambda _, own: agenda(self.pieces, own, 0, 0.0), met)
+        ids, counts = _run(self.pieces, self.symbols.all[_ragged(self.first.all[parts], sizes)], sizes, skip, lambda i: _draw(0.0, 0), met)
         self.part.add(parts)
         self.parent.add(parents)
         self.fork.add(forks)
@@ -421,18 +492,22 @@ class Encoder:
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of the ids in UTF-8, without the space that encoding puts first."""
+        return self.marked(ids).removeprefix(b" ")
+
+    def marked(self, ids: np.ndarray) -> bytes:
+        """The text of the ids in UTF-8, as a block holds it."""
         p = self.pieces
         size = p.sizes[ids]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        raw = p.raw[np.repeat(p.starts[ids] - (ends - size), size) + np.arange(total)].tobytes()
-        return raw[1:] if raw[:1] == b" " else raw
+        return p.raw[_ragged(p.starts[ids], size)].tobytes()
 
 
 def _parts(text: str) -> list[str]:
-    """Runs of spaces with the characters behind them, after one space put first; none for no text."""
-    if not text:
-        return []
+    """The parts of a text, after one space put first; none for no text."""
+    return _split(text) if text else []
+
+
+def _split(text: str) -> list[str]:
+    """Runs of spaces with the characters behind them; the first run has one space more than the text."""
     words = text.split(" ")
     if "" not in words:
         return [" " + x for x in words]
@@ -447,6 +522,25 @@ def _parts(text: str) -> list[str]:
     return out
 
 
+#: Characters of a block of a very long text.
+BLOCK = 1 << 21
+_OPENS = re.compile("(?<! ) ")
+
+
+def blocks(text: str) -> Iterator[tuple[str, int]]:
+    """(block, number of its first part) of a text with one space put first, cut where a part begins.
+
+    Blocks are encoded one by one, so memory follows a block; only a single part of more than BLOCK
+    characters makes a block that is much longer.
+    """
+    text, at, parts = " " + text, 0, 0
+    while at < len(text):
+        found = _OPENS.search(text, at + BLOCK)
+        end = found.start() if found else len(text)
+        yield text[at:end], parts
+        parts, at = parts + len(_split(text[at + 1 : end])), end
+
+
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
@@ -465,16 +559,34 @@ def encode(docs: DataFrame, model: str = MODEL, rate: float = RATE, seed: int =
     """
     kind = "doc_id long, n_pieces long, ids_crc32 long, text_crc32 long, lossless boolean" + ", ids array<int>" * ids
 
+    names = ["doc_id", "n_pieces", "ids_crc32", "text_crc32", "lossless", *["ids"] * ids]
+
+    def one(own: Encoder, doc_id: int, text: str) -> tuple:
+        """The results of a text beyond BLOCK characters."""
+        n, ids_sum, text_sum, same, kept, lead = 0, 0, 0, True, [], 1
+        for block, place in blocks(text):
+            found = own.encode([doc_id], [block], [place])[0]
+            back = own.marked(found)
+            n, same = n + len(found), same and back == block.encode()
+            ids_sum, text_sum, lead = zlib.crc32(found.astype("<u4").tobytes(), ids_sum), zlib.crc32(back[lead:], text_sum), 0
+            kept += [found] * ids
+        return n, ids_sum, text_sum, same, *[np.concatenate(kept)] * ids
+
+    def some(own: Encoder, doc_ids: list[int], texts: list[str]) -> Iterator[tuple]:
+        found = own.encode(doc_ids, texts)
+        for x, text in zip(found, texts, strict=True):
+            back = own.decode(x)
+            yield len(x), zlib.crc32(x.astype("<u4").tobytes()), zlib.crc32(back), back == text.encode(), *[x] * ids
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(model, rate, seed, variants)
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), *[pa.list_(pa.int32())] * ids]
         for batch in batches:
             offsets, _ = scan.buffers(batch.column(1))
-            for a, b in scan.slices(offsets, 1 << 22):
-                names = batch.column(0).slice(a, b - a)
-                texts = batch.column(1).slice(a, b - a).to_pylist()
-                found = own.encode([x or 0 for x in names.to_pylist()], texts)
-                back = [own.decode(x) for x in found]
-                columns = [names, pa.array([len(x) for x in found], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in found], pa.int64()), pa.array([zlib.crc32(x) for x in back], pa.int64()), pa.array([x == t.encode() for x, t in zip(back, texts, strict=True)])]
-                yield pa.RecordBatch.from_arrays([*columns, *([pa.array(found, pa.list_(pa.int32()))] if ids else [])], names=["doc_id", "n_pieces", "ids_crc32", "text_crc32", "lossless", *["ids"] * ids])
+            for a, b in scan.slices(offsets, 2 * BLOCK):
+                doc_ids, texts = [x or 0 for x in batch.column(0).slice(a, b - a).to_pylist()], batch.column(1).slice(a, b - a).to_pylist()
+                rows = [one(own, doc_ids[0], texts[0])] if b - a == 1 and len(texts[0]) > BLOCK else some(own, doc_ids, texts)
+                columns = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], names=names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, kind)

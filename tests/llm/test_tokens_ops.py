@@ -140,15 +140,92 @@ def test_dropout(spark):
     assert merge_dropout.encode(docs.limit(0)).count() == 0
 
 
-def test_side_by_side_equals_the_heap():
-    encoder = merge_dropout.Encoder(public_tokenizers.path(merge_dropout.MODEL), 0.3, 1, 3)
-    parts = [" " + "".join(random.Random(k).choice("theraingos é🙂") for _ in range(k % 47 + 1)) for k in range(300)]
-    symbols, sizes, keys = encoder._symbols(parts, np.zeros(300, np.int64))
-    ids, counts = merge_dropout.segment(encoder.pieces, symbols, sizes, keys, 0.3)
-    a = b = 0
-    for n, m, key in zip(sizes, counts, keys, strict=True):
-        assert merge_dropout.agenda(encoder.pieces, symbols[a : a + n].tolist(), int(key), 0.3).tolist() == ids[b : b + m].tolist()
-        a, b = a + n, b + m
+_64 = (1 << 64) - 1
+
+
+def spread(x):
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        x = (x ^ x >> shift) * factor & _64
+    return x
+
+
+def slowly(own, part, rate, doc_id, number, seed=1):
+    """The pieces of one occurrence by scanning all neighbours for each merge, from the library's scores."""
+    golden = 0x9E3779B97F4A7C15
+    who = spread((doc_id * golden + seed) & _64)
+    key = spread(spread((who + number) & _64) ^ who)
+
+    def score(a, b):
+        name = a[0] + b[0]
+        i = own.piece_to_id(name)
+        if own.is_unknown(i) or own.is_byte(i) or own.is_control(i) or a[0][0] == "<" == b[0][0]:
+            return None
+        place = spread((((a[1] << 42) ^ (b[1] << 21) ^ b[2]) + 1) * golden & _64)
+        return None if spread((key + place) & _64) >> 11 < rate * 2.0**53 else own.get_score(i)
+
+    row = [(x.replace(" ", "▁"), k, k + 1) for k, x in enumerate(part)]
+    while True:
+        found = [(-s, k) for k, (a, b) in enumerate(zip(row, row[1:], strict=False)) if (s := score(a, b)) is not None]
+        if not found:
+            return [x[0] for x in row]
+        k = min(found)[1]
+        row[k : k + 2] = [(row[k][0] + row[k + 1][0], row[k][1], row[k + 1][2])]
+
+
+def test_dropout_equals_a_plain_scan():
+    own = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(merge_dropout.MODEL))
+    rng = random.Random(12)
+    words = ["".join(rng.choice("theraingosul") for _ in range(rng.choice([1, 3, 8, 10, 11, 17, 30, 47, 48, 70, 200]))) for _ in range(60)]
+    for rate in (0.1, 0.5):
+        encoder = merge_dropout.Encoder(public_tokenizers.path(merge_dropout.MODEL), rate, 1, 0)
+        texts = [" ".join(rng.choices(words, k=25)) for _ in range(8)]
+        for _ in range(2):  # fresh, then from the trees
+            for doc_id, ids in enumerate(encoder.encode(list(range(8)), texts)):
+                want = [x for n, w in enumerate(texts[doc_id].split(" ")) for x in slowly(own, " " + w, rate, doc_id, n)]
+                assert [own.id_to_piece(int(i)) for i in ids] == want
+
+
+def test_side_by_side_equals_the_heap(monkeypatch):
+    path = public_tokenizers.path(merge_dropout.MODEL)
+    parts = ["".join(random.Random(k).choice("theraingos é🙂") for _ in range(k % 47 + 1)) for k in range(300)]
+    texts = [" ".join(parts), "a" * 700, "".join(parts).replace(" ", ""), "日本語" * 99]
+    for rate in (0.0, 0.3):
+        beside = merge_dropout.Encoder(path, rate, 1, 0).encode([1, 2, 3, 4], texts)
+        monkeypatch.setattr(merge_dropout, "WIDE", 28)  # the widest runs go to the heap
+        heap = merge_dropout.Encoder(path, rate, 1, 0).encode([1, 2, 3, 4], texts)
+        monkeypatch.undo()
+        assert [x.tolist() for x in beside] == [x.tolist() for x in heap]
+
+
+def test_long_texts_in_blocks(spark, monkeypatch):
+    texts = [" lead and  two " * 40 + "   ", "x" * 900 + " y z", " " * 500, "a" + " " * 300, " b", *MARKED]
+    for text in texts:
+        for size in (1, 7, 64):
+            monkeypatch.setattr(merge_dropout, "BLOCK", size)
+            some = list(merge_dropout.blocks(text))
+            assert "".join(x for x, _ in some) == " " + text
+            assert [p for x, _ in some for p in merge_dropout._split(x[1:])] == merge_dropout._split(text)
+            encoder = merge_dropout.encoder()
+            assert [i for x, n in some for i in encoder.encode([5], [x], [n])[0].tolist()] == encoder.encode([5], [text])[0].tolist() or not text
+    monkeypatch.undo()
+    big = "the theory of thermal things, 日本語 and more. " * 90_000 + "0123456789abcdef" * 30_000  # 5 MB
+    rows = [(1, big), (2, "small"), (1, big[: merge_dropout.BLOCK + 9])]
+    got = merge_dropout.encode(spark.createDataFrame(rows, DOCS).repartition(1), ids=True).collect()
+    assert all(r.lossless and r.n_pieces == len(r.ids) for r in got) and len(got) == 3
+    whole = merge_dropout.encoder().encode([1], [big])[0]
+    assert max(got, key=lambda r: r.n_pieces).ids == whole.tolist()
+
+
+def test_skips_come_at_the_rate():
+    """One word of a single merge in 300 documents: it stays whole but for the share of the rate."""
+    encoder = merge_dropout.encoder()
+    pieces = encoder.pieces
+    word = next(x[1:] for x in pieces.names if len(x) == 2 and x[0] == "▁" and x[1].isalpha())
+    found = encoder.encode(list(range(300)), [" ".join([word] * 20)] * 300)
+    whole = sum(x.tolist().count(pieces.ids["▁" + word]) for x in found)
+    assert abs(1 - whole / 6000 - merge_dropout.RATE) < 0.02
+    long = encoder.encode(list(range(300)), ["internationalisation"] * 300)
+    assert len({tuple(x.tolist()) for x in long}) > 40
 
 
 def test_each_occurrence_draws_anew(monkeypatch):
