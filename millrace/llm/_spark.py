@@ -1,12 +1,12 @@
 """Helpers of the training-data operators: shared folder, staged tables, skew-proof joins.
 
 Executors share no local folder, so every intermediate table goes below the folder named by
-``spark.checkpoint.dir``; a folder of our own is set only where that setting is missing.
+``spark.checkpoint.dir``. Where that setting is missing, a local session gets a folder of its own, and
+a cluster an error.
 """
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -37,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as a URI or a path."""
     told = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not told:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         told = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", told)
     return told.rstrip("/")
@@ -72,17 +74,16 @@ def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     if rows is not None:
         df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, rows // FILE_ROWS))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
 
 
-def tidy(spark: SparkSession) -> None:
-    """Let the driver drop what finished steps of a long loop hold: plans, broadcasts, shuffle files.
-
-    Spark cleans up after objects that the driver's collector has found, and a loop of many small
-    jobs may not fill the heap for a long time.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def forget(*tables: DataFrame | None) -> None:
+    """Delete the files of staged tables, once everything that was made of them is staged itself."""
+    for df in tables:
+        if df is not None and (path := getattr(df, "_staged_at", None)):
+            remove(df.sparkSession, path)
 
 
 #: Narrow rows that may be broadcast, once counted: some 10 MB.

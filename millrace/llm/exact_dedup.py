@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import bloom, scan
-from ._spark import join_groups, staged
+from ._spark import forget, join_groups, staged
+from .bloom import rows_left, rows_named
 
 PRIMES = (2147483647, 2147483629)
 RADIX = (911382323, 972663749)
@@ -123,6 +124,12 @@ KEYS = ["f1", "f2", "n_bytes", "content"]
 
 def groups(docs: DataFrame, primes=PRIMES, radix=RADIX, huge: int = HUGE) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row per document, dropped ones too."""
+    out = _verdicts(docs, primes, radix, huge).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    return out.select("doc_id", "keep_id", F.col("size").alias("group_size"), (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), F.col("sha").alias("text_sha256"))
+
+
+def _verdicts(docs: DataFrame, primes=PRIMES, radix=RADIX, huge: int = HUGE) -> DataFrame:
+    """(doc_id, sha, times, keep_id, size) of each doc_id and text."""
     prints = staged(fingerprints(docs, primes, radix, huge).groupBy("doc_id", "sha", "f1", "f2", "n_bytes").agg(F.count(F.lit(1)).alias("times")), "prints")
     total = prints.count()
     split = _unequal(docs, prints, total, primes, radix, huge)
@@ -133,9 +140,7 @@ def groups(docs: DataFrame, primes=PRIMES, radix=RADIX, huge: int = HUGE) -> Dat
         keyed = join_groups(prints, mark, ["f1", "f2", "n_bytes"], ["split"], total, F.xxhash64("doc_id", "sha"))
         keyed = keyed.withColumn("content", F.when(F.col("split"), F.col("sha")).otherwise(F.lit(""))).drop("split")
     found = keyed.groupBy(*KEYS).agg(F.max("doc_id").alias("keep_id"), F.sum("times").alias("size"), F.count(F.lit(1)).alias("group_size"))
-    out = join_groups(keyed, found, KEYS, ["keep_id", "size"], total, F.xxhash64("doc_id", "sha"))
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
-    return out.select("doc_id", "keep_id", F.col("size").alias("group_size"), (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), F.col("sha").alias("text_sha256"))
+    return join_groups(keyed, found, KEYS, ["keep_id", "size"], total, F.xxhash64("doc_id", "sha")).select("doc_id", "sha", "times", "keep_id", "size")
 
 
 def _unequal(docs: DataFrame, prints: DataFrame, total: int, primes, radix, huge: int) -> DataFrame:
@@ -160,15 +165,23 @@ def _unequal(docs: DataFrame, prints: DataFrame, total: int, primes, radix, huge
     chunks = texts.select(*keys, F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring("text", i * COMPARED + 1, F.lit(COMPARED)))).alias("no", "chunk"))
     compared = chunks.groupBy(*keys, "no").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high"))
     bad = compared.filter("low <> high").select(*keys).distinct()
-    return staged(bad.join(many.select(*keys, "group_size"), keys), "split")
+    out = staged(bad.join(many.select(*keys, "group_size"), keys), "split")
+    forget(many, members)
+    words.unpersist()
+    return out
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """One row of each group of equal texts, all columns as they are: that with the largest doc_id."""
-    found = staged(groups(docs), "verdicts")
-    mine = found.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sum"), "kept")
-    rows = docs.withColumn("__sha", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
-    out = rows.join(mine.filter("kept").drop("kept"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__sum")), "left_semi")
-    if found.count() > mine.select("__id", "__sum").distinct().count():  # rows that repeat both
-        out = out.dropDuplicates(["doc_id", "__sha"])
-    return out.select(*docs.columns)
+    """One row of each group of equal texts, all columns as they are: that with the largest doc_id, and of
+    rows that share that too the one whose other columns have the smallest hash."""
+    found = staged(_verdicts(docs), "verdicts")
+    named = found.select("doc_id", F.col("sha").alias("mark"), "times", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("stays"))
+    gone, again = (named.filter(x).select("doc_id", "mark") for x in ("not stays", "stays and times > 1"))
+    n_gone, n_again = named.agg(F.expr("count_if(not stays)"), F.expr("count_if(stays and times > 1)")).first()
+    mark = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    if not n_again:
+        return rows_left(docs, gone, mark, n_gone)
+    out = rows_left(docs, gone.unionByName(again), mark, n_gone + n_again)
+    rows = rows_named(docs, again, mark, n_again)
+    order = F.struct(F.xxhash64(F.to_json("row")), F.to_json("row"))
+    return out.unionByName(rows.groupBy("id", "mark").agg(F.min_by("row", order).alias("row")).select("row.*"))

@@ -2,12 +2,16 @@
 
 Per document: the set of distinct shingles, PERMUTATIONS minima, their low B bits packed into bit
 planes, and one key per band. Documents with equal sets form a class first, so copies are never
-paired. Within a band bucket a few hubs a round are compared with all members; the similarity is
-estimated from bit counts, corrected for chance collisions, and survivors are confirmed on full sets,
-the likeliest first.
-A hub leaves its bucket only after all members were compared with it, and a bucket is done only when
-all its members lie in one component: no link between candidates is lost and no pairs of a bucket
-are listed.
+paired. In two rounds a few hubs of each band bucket are compared with all its members, by one-way
+broadcast where a bucket is hot; the similarity is estimated from bit counts, corrected for chance
+collisions, and survivors are confirmed on full sets, the likeliest first. A hub leaves its bucket
+only after all members were compared with it, and a bucket is done when all its members lie in one
+component.
+What is left in small buckets (up to SMALL members) is compared there. Large buckets hold texts that
+share a passage and little else; their members are joined on the rarest of their shingles instead: two
+sets of the wanted similarity must share one among their first (100 - p) / (100 + p) and (100 - p) / 100
+parts in order of frequency. So no link between candidates is lost, and no pairs of a large bucket are
+listed.
 
 Edge cases: null or wordless texts have the empty set and link with nothing; fewer words than the
 shingle width count as one shingle; ties cannot occur (doc_id decides); rows that repeat a doc_id
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import bloom, scan
-from ._spark import join_groups, new_folder, opened, small, staged, tidy
+from ._spark import HOT_SHARE, forget, join_groups, new_folder, opened, small, staged
 from .components import components
 
 BANDS, ROWS, B = 32, 5, 2
@@ -37,6 +41,10 @@ SIGNATURE = [f"s{j}" for j in range(B * PERMUTATIONS // 64)]  # B planes of one
 MARGIN = 0.16
 #: So few candidates are confirmed at once.
 FEW = 200_000
+#: Members of a bucket that are compared with each other after the hub rounds.
+SMALL = 64
+#: Shingles in more sets than this are put last; hot ones are dealt over so many tasks.
+LIGHT, SALTS = 2, 16
 
 _SEEDS = scan.stream(101, 2 * PERMUTATIONS)
 _A = (_SEEDS[:PERMUTATIONS] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -149,6 +157,23 @@ def storer(width: int, words, folder: str):
     return run
 
 
+class _Files:
+    """Sets read from the files of storer()."""
+
+    def __init__(self) -> None:
+        self.open = {}
+
+    def get(self, path: str, at: int, size: int) -> np.ndarray:
+        if path not in self.open:
+            store, name = opened(path)
+            self.open[path] = store.open_input_file(name)
+        return np.frombuffer(self.open[path].read_at(8 * size, at), np.uint64)
+
+    def close(self) -> None:
+        for f in self.open.values():
+            f.close()
+
+
 #: Bytes of sets that a worker keeps while it confirms pairs.
 HELD = 32 << 20
 
@@ -158,18 +183,14 @@ def confirmer(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: OrderedDict[tuple[str, int], np.ndarray] = OrderedDict()
-        files, total = {}, 0
+        files, total = _Files(), 0
 
         def get(path: str, at: int, size: int) -> np.ndarray:
             nonlocal total
             if (path, at) in held:
                 held.move_to_end((path, at))
                 return held[path, at]
-            if path not in files:
-                store, name = opened(path)
-                files[path] = store.open_input_file(name)
-            x = np.frombuffer(files[path].read_at(8 * size, at), np.uint64)
-            held[path, at] = x
+            held[path, at] = x = files.get(path, at, size)
             total += 8 * size
             while total > HELD and len(held) > 1:
                 total -= 8 * len(held.popitem(last=False)[1])
@@ -185,12 +206,86 @@ def confirmer(percent: int):
                 common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
                 linked.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "ca", "cb")], pa.array(linked, pa.bool_())], names=["a", "b", "ca", "cb", "linked"])
-        for f in files.values():
-            f.close()
+        files.close()
+
+    return run
+
+
+#: Rows of a batch of single shingles.
+_STEP = 1 << 16
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, x): every shingle of the sets at (rep, path, at, size)."""
+    files = _Files()
+    for batch in batches:
+        for rep, path, at, size in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
+            x = files.get(path, at, size).view(np.int64)
+            for k in range(0, size, _STEP):
+                some = x[k : k + _STEP]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), rep)), pa.array(some)], names=["rep", "x"])
+    files.close()
+
+
+_FIRST = "x long, rep long, component long, n long, pos long, short boolean"
+
+
+def prefixes(percent: int):
+    """(x, rep, component, n, pos, short) of the first shingles of each set, rare ones in front.
+
+    Rows come as (rep, component, path, at, size, heavy): heavy lists the set's frequent shingles in order
+    of frequency; all others stand before them. Of two linked sets the first common shingle stands among
+    the smaller one's ``short`` rows and among the larger one's rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = _Files()
+        for batch in batches:
+            for rep, component, path, at, n, heavy in zip(*[batch.column(k).to_pylist() for k in range(6)], strict=True):
+                x = files.get(path, at, n).view(np.int64)
+                heavy = np.array(heavy or [], np.int64)
+                most, least = n + percent * n // -100 + 1, n + 2 * percent * n // -(100 + percent) + 1
+                x = np.concatenate([x[~np.isin(x, heavy)], heavy])[:most]
+                for k in range(0, len(x), _STEP):
+                    some = x[k : k + _STEP]
+                    pos = np.arange(k, k + len(some))
+                    same = [pa.array(np.full(len(some), v)) for v in (rep, component, n)]
+                    yield pa.RecordBatch.from_arrays([pa.array(some), *same, pa.array(pos), pa.array(pos < least)], names=["x", "rep", "component", "n", "pos", "short"])
+        files.close()
 
     return run
 
 
+def passage_pairs(hot: DataFrame, percent: int) -> DataFrame:
+    """(a, b, ca, cb): pairs of the sets at (rep, component, path, at, size) that may be linked, each once.
+
+    Every pair of the similarity is among them: shingles are ordered by how many of these sets hold them,
+    and the first that a pair has in common lies within both sets' prefixes. Texts whose own words are more
+    than the prefix meet on those alone, however many share a passage.
+    """
+    total = hot.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    rows = hot.select("rep", "path", "at", "size").mapInArrow(_shingles, "rep long, x long")
+    counts = staged(rows.groupBy("x").agg(F.count(F.lit(1)).alias("group_size")).filter(F.col("group_size") > LIGHT).withColumn("c", F.col("group_size")), "frequent")
+    heavy = join_groups(rows, counts, ["x"], ["c"], total, F.xxhash64("rep"), "inner").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("heavy"))
+    first = hot.join(heavy, "rep", "left").select("rep", "component", "path", "at", "size", F.transform("heavy", lambda h: h["x"]).alias("heavy"))
+    first = staged(first.mapInArrow(prefixes(percent), _FIRST), "prefixes")
+    n = first.count()
+    state = first.groupBy("x").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("group_size")).filter("lo < hi")
+    first = join_groups(first, state.withColumn("held", F.col("group_size")), ["x"], ["held"], n, F.xxhash64("rep"), "inner")
+    wide = F.col("held") >= F.lit(max(2, int(n * HOT_SHARE)))
+    salt = F.when(wide, F.pmod(F.xxhash64("rep"), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+    s = first.filter("short").withColumn("salt", salt).alias("s")
+    y = first.withColumn("salt", F.explode(F.when(wide, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))).alias("y")
+    ordered = (F.col("s.n") < F.col("y.n")) | ((F.col("s.n") == F.col("y.n")) & (F.col("s.rep") < F.col("y.rep")))
+    room = F.least(F.col("s.n") - F.col("s.pos"), F.col("y.n") - F.col("y.pos")) * (100 + percent) >= percent * (F.col("s.n") + F.col("y.n"))
+    met = s.join(y, (F.col("s.x") == F.col("y.x")) & (F.col("s.salt") == F.col("y.salt")) & (F.col("s.component") != F.col("y.component")) & ordered & (100 * F.col("s.n") >= percent * F.col("y.n")) & room)
+    turned = F.col("s.rep") > F.col("y.rep")
+    pairs = met.select(F.least("s.rep", "y.rep").alias("a"), F.greatest("s.rep", "y.rep").alias("b"), F.when(turned, F.col("y.component")).otherwise(F.col("s.component")).alias("ca"), F.when(turned, F.col("s.component")).otherwise(F.col("y.component")).alias("cb"))
+    out = staged(pairs.dropDuplicates(["a", "b"]), "pairs")
+    forget(counts, first)
+    return out
+
+
 def estimate(a: str, b: str, signature: list[str], bits: int) -> Column:
     """Collision-corrected similarity of two packed signatures (column prefixes a and b), from bit counts."""
     each = len(signature) // bits
@@ -227,7 +322,6 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     groups = staged(groups, "groups", n_docs)
     reps = groups.select("rep", F.col("least").alias("doc_id"), *[F.col(k).alias(f"own_{k}") for k in keys]).join(full, "doc_id").filter(" and ".join(f"{k} = own_{k}" for k in keys)).dropDuplicates(["rep"])
     reps = staged(reps.select("rep", "doc_id", F.col("n_shingles").alias("n"), "k1", "k2", *SIGNATURE, "bands"), "reps", n_docs)
-    tidy(spark)
     roots = groups.select("rep", "least").join(_links(spark, texts.drop("text_hash"), reps, width, percent), "rep")
     named = roots.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("group_size"))
     roots = join_groups(roots, named, ["component"], ["component_id"], n_docs, F.xxhash64("rep")).select("rep", "component_id")
@@ -238,83 +332,122 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def keep(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each class, all columns as they are: that with the smallest doc_id."""
-    gone = _classes(docs, width, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"))
-    return docs.join(gone, (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64("text") == F.col("__text")), "left_anti")
+    """One document of each class, all columns as they are: that with the smallest doc_id; rows without a
+    doc_id stay."""
+    gone = staged(_classes(docs, width, percent).filter(~F.col("kept")).select("doc_id", F.col("text_hash").alias("mark")).distinct(), "gone")
+    return bloom.rows_left(docs, gone, F.xxhash64("text"), gone.count())
 
 
 def _links(spark, texts: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
     """(rep, component) of all representatives that share a bucket: the components of all confirmed links.
 
-    A round compares hubs of each unfinished bucket with its members: one hub, then up to 64 of as
-    many components, then all that are left, so most members are joined before many hubs are tried. After the
-    first round a pair is looked at in its first common bucket only. Candidates over the estimate
-    wait in a pool. From the pool the most similar pairs of each component are confirmed
-    first, 1, then 32, then 1024 at a time; pairs whose ends a confirmed link has joined meanwhile need
-    no test. Round and pool go on until nothing is left, so every candidate is decided.
+    Two rounds compare hubs of each unfinished bucket with its members: one hub, then up to 64 of as many
+    components. The last takes what is left, members of small buckets with each other and those of large
+    ones by passage_pairs(). After the first round a pair is looked at in its first common bucket only.
     """
-    signed, signature, bits, margin, own = reps.select("rep", "n", *SIGNATURE), SIGNATURE, B, MARGIN, []
     total = reps.count() * BANDS
     members = reps.select("rep", F.posexplode("bands").alias("k", "band")).withColumn("component", F.col("rep"))
-    found, sets, keyed, n_sets, hubs_each = None, None, None, 0, 1
-    while True:
-        state = members.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("group_size")).filter("lo < hi").withColumn("open", F.lit(True))
-        members = staged(join_groups(members, state, ["band"], ["open"], total, F.xxhash64("rep"), "inner").drop("open"), "members", total)
-        total = members.count()
+    found, sets, keyed, n_sets, last = None, None, None, 0, None
+    for hubs_each in (1, 64, 0):
+        state = members.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("group_size")).filter("lo < hi")
+        members = staged(join_groups(members, state.withColumn("held", F.col("group_size")), ["band"], ["held"], total, F.xxhash64("rep"), "inner"), "members", total)
+        forget(last)
+        total, last = members.count(), members
         if found is None:
             found = staged(members.select("rep", "component").distinct(), "components", total)
         if not total:
             return found
-        tidy(spark)
         if sets is None:
             n_sets = found.count()
             wanted = staged(reps.select("rep", "doc_id", F.col("n").alias("size"), "k1", "k2").join(found.select("rep"), "rep"), "wanted", n_sets)
             sets = _stored(spark, texts, wanted, n_sets, width)
             keyed = staged(sets.join(reps.select("rep", *[F.col("bands")[j].alias(b) for j, b in enumerate(BAND_KEYS)]), "rep").withColumnRenamed("size", "n"), "keyed", n_sets)
+            forget(wanted)
         if hubs_each:  # of a cell the smallest component's first member
-            sizes = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("rep"))
-            hubs = sizes.groupBy("band", F.pmod(F.xxhash64("component"), F.lit(hubs_each)).alias("cell")).agg(F.min(F.struct("c", "rep", "component")).alias("hub"))
-            hubs = staged(hubs.select("band", F.col("hub.rep").alias("hub"), F.col("hub.component").alias("hub_component")), "hubs", total)
-        else:  # all members, each against those behind it
-            hubs = members.select("band", F.col("rep").alias("hub"), F.col("component").alias("hub_component"))
-        hub_side = hubs.join(signed.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n"), *signature, *own), "hub").alias("h")
-        member_side = members.join(signed, "rep").alias("m")
-        sized = 100 * F.least("h.hub_n", "m.n") >= percent * F.greatest("h.hub_n", "m.n")
-        guess = estimate("h", "m", signature, bits)
-        near = (F.col("h.band") == F.col("m.band")) & (F.col("h.hub_component") != F.col("m.component")) & sized & (guess >= percent / 100 - margin)
-        if not hubs_each:
-            near &= F.col("h.hub") < F.col("m.rep")
-        if own:  # the first band that both share
-            at = F.lit(BANDS)
-            for j in reversed(range(BANDS)):
-                at = F.when(F.col(f"h.b{j}") == F.col(f"m.b{j}"), F.lit(j)).otherwise(at)
-            near &= at == F.col("m.k")
-        pool = hub_side.join(member_side, near).select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"), F.when(F.col("hub") < F.col("rep"), F.col("hub_component")).otherwise(F.col("component")).alias("ca"), F.when(F.col("hub") < F.col("rep"), F.col("component")).otherwise(F.col("hub_component")).alias("cb"), guess.alias("guess")).dropDuplicates(["a", "b"])
-        pool, picked = staged(pool, "pool", total), 1
-        tidy(spark)
-        while waiting := pool.count():
-            if waiting <= FEW:
-                picked = waiting  # one job is cheaper than the tests it may save
-            best = F.max(F.struct("guess", "a", "b", "ca", "cb")).alias("best")
-            cell = F.pmod(F.xxhash64("a", "b"), F.lit(picked)).alias("cell")
-            pick = pool
-            if picked < waiting:
-                pick = pool.groupBy("ca", cell).agg(best).select("best.*").unionByName(pool.groupBy("cb", cell).agg(best).select("best.*")).dropDuplicates(["a", "b"])
-            tested = _confirmed(sets, pick.drop("guess"), percent, waiting, n_sets)
-            moved = components(tested.filter("linked"), "ca", "cb", waiting)
-            found = staged(_moved(found, moved, "component", waiting), "components", n_sets)
-            if pick is pool:
-                break
-            pool = _moved(_moved(pool.join(tested.select("a", "b"), ["a", "b"], "left_anti"), moved, "ca", waiting), moved, "cb", waiting)
-            pool, picked = staged(pool.filter("ca <> cb"), "pool", waiting), picked * 32
-        tidy(spark)
-        if not hubs_each:
-            return found
-        # the hubs have met all members of their buckets and leave them
-        rest = members.join(small(hubs.select("band", F.col("hub").alias("rep")), total), ["band", "rep"], "left_anti").select("rep", "k", "band")
-        members = rest.join(small(found, n_sets), "rep")
-        hubs_each = 64 if hubs_each == 1 else 0
-        signed, signature, bits, margin, own = keyed, FINE_SIGNATURE, 1, FINE_MARGIN, BAND_KEYS
+            sizes = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("rep"), F.first("held").alias("held"))
+            hubs = sizes.groupBy("band", F.pmod(F.xxhash64("component"), F.lit(hubs_each)).alias("cell")).agg(F.min(F.struct("c", "rep", "component")).alias("hub"), F.first("held").alias("held"))
+            hubs = staged(hubs.select("band", F.col("hub.rep").alias("hub"), F.col("hub.component").alias("hub_component"), "held"), "hubs", total)
+            pool = _near(hubs, members, total, reps.select("rep", "n", *SIGNATURE) if hubs_each == 1 else keyed, percent, hubs_each == 1)
+        else:
+            few = members.filter(F.col("held") <= SMALL)
+            pool = _near(few.select("band", F.col("rep").alias("hub"), F.col("component").alias("hub_component"), "held"), few, None, keyed, percent, False, behind=True)
+            hot = members.filter(F.col("held") > SMALL).select("rep", "component").distinct().join(sets.select("rep", "path", "at", "size"), "rep")
+            pool = pool.unionByName(_estimated(passage_pairs(staged(hot, "hot", n_sets), percent), keyed, percent)).dropDuplicates(["a", "b"])
+        found = _decided(staged(pool, "pool", total), sets, found, percent, n_sets)
+        if hubs_each:  # the hubs have met all members of their buckets and leave them
+            rest = members.join(small(hubs.select("band", F.col("hub").alias("rep")), total), ["band", "rep"], "left_anti").select("rep", "k", "band")
+            members = rest.join(small(found, n_sets), "rep")
+    return found
+
+
+def _near(hubs: DataFrame, members: DataFrame, total: int | None, signed: DataFrame, percent: int, coarse: bool, behind: bool = False) -> DataFrame:
+    """(a, b, ca, cb, guess) of hubs and members of a bucket with an estimate near the threshold.
+
+    Hubs of hot buckets (at most 1/HOT_SHARE of them, up to 64 hubs each) are broadcast, so their members
+    stay where they are; total None: no bucket is hot. behind: only members behind the hub.
+    """
+    signature, bits, margin, own = (SIGNATURE, B, MARGIN, []) if coarse else (FINE_SIGNATURE, 1, FINE_MARGIN, BAND_KEYS)
+    signed = signed.select("rep", "n", *signature, *own)
+    hub_side = hubs.join(signed.withColumnsRenamed({"rep": "hub", "n": "hub_n"}), "hub")
+    guess = estimate("h", "m", signature, bits)
+    near = (F.col("h.band") == F.col("m.band")) & (F.col("h.hub_component") != F.col("m.component")) & (100 * F.least("h.hub_n", "m.n") >= percent * F.greatest("h.hub_n", "m.n")) & (guess >= percent / 100 - margin)
+    if behind:
+        near &= F.col("h.hub") < F.col("m.rep")
+    if own:  # the first band that both share
+        at = F.lit(BANDS)
+        for j in reversed(range(BANDS)):
+            at = F.when(F.col(f"h.b{j}") == F.col(f"m.b{j}"), F.lit(j)).otherwise(at)
+        near &= at == F.col("m.k")
+    cut = None if total is None else max(2, int(total * HOT_SHARE))
+    out = None
+    for hot in (None,) if cut is None else (True, False):
+        part = lambda df, hot=hot: df if hot is None else df.filter(F.col("held") >= cut if hot else F.col("held") < cut)
+        left = part(hub_side).drop("held").alias("h")
+        met = (F.broadcast(left) if hot else left).join(part(members).join(signed, "rep").alias("m"), near)
+        turned = F.col("hub") > F.col("rep")
+        rows = met.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"), F.when(turned, F.col("component")).otherwise(F.col("hub_component")).alias("ca"), F.when(turned, F.col("hub_component")).otherwise(F.col("component")).alias("cb"), guess.alias("guess"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.dropDuplicates(["a", "b"])
+
+
+def _estimated(pairs: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
+    """pairs with their guess: those that share a band and whose estimate is near the threshold."""
+    for end, side in (("a", "h"), ("b", "m")):
+        own = keyed.select(F.col("rep").alias(end), F.struct(*FINE_SIGNATURE, *BAND_KEYS).alias(side))
+        pairs = pairs.join(own, end)
+    shared = F.lit(False)
+    for b in BAND_KEYS:
+        shared |= F.col(f"h.{b}") == F.col(f"m.{b}")
+    guess = estimate("h", "m", FINE_SIGNATURE, 1)
+    return pairs.filter(shared & (guess >= percent / 100 - FINE_MARGIN)).select("a", "b", "ca", "cb", guess.alias("guess"))
+
+
+def _decided(pool: DataFrame, sets: DataFrame, found: DataFrame, percent: int, n_sets: int) -> DataFrame:
+    """found after all candidates of the pool are decided.
+
+    The most similar pairs of each component are confirmed first, 1, then 32, then 1024 at a time; pairs
+    whose ends a confirmed link has joined meanwhile need no test.
+    """
+    picked = 1
+    while waiting := pool.count():
+        if waiting <= FEW:
+            picked = waiting  # one job is cheaper than the tests it may save
+        best = F.max(F.struct("guess", "a", "b", "ca", "cb")).alias("best")
+        cell = F.pmod(F.xxhash64("a", "b"), F.lit(picked)).alias("cell")
+        pick = pool
+        if picked < waiting:
+            pick = pool.groupBy("ca", cell).agg(best).select("best.*").unionByName(pool.groupBy("cb", cell).agg(best).select("best.*")).dropDuplicates(["a", "b"])
+        tested = _confirmed(sets, pick.drop("guess"), percent, waiting, n_sets)
+        moved = components(tested.filter("linked"), "ca", "cb", waiting)
+        before, found = found, staged(_moved(found, moved, "component", waiting), "components", n_sets)
+        old = (before, tested, moved, pool)
+        if pick is not pool:
+            rest = _moved(_moved(pool.join(tested.select("a", "b"), ["a", "b"], "left_anti"), moved, "ca", waiting), moved, "cb", waiting)
+            pool, picked = staged(rest.filter("ca <> cb"), "pool", waiting), picked * 32
+        forget(*old)
+        if pick is old[3]:
+            break
+    return found
 
 
 def _moved(rows: DataFrame, moved: DataFrame, column: str, most: int) -> DataFrame:

@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import bloom, exact_dedup, minhash, scan
-from millrace.llm._spark import join_groups
+from millrace.llm import bloom, components as components_module, exact_dedup, minhash, scan
+from millrace.llm._spark import join_groups, shared_dir
 from millrace.llm.components import components
 
 DOCS = "doc_id long, text string"
@@ -57,6 +57,30 @@ def test_repeated_rows_keep_one(spark):
     assert exact_dedup.groups(docs.limit(0)).count() == 0
 
 
+CLASHING = "doc_id long, text string, __sha string, __id long, row string, score double, kept boolean, mark string, id int, maybe int"
+
+
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_stages_keep_any_column(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(bloom, "BROADCAST_ROWS", broadcast)
+    near = " ".join(f"w{k}" for k in range(60))
+    texts = ["a", "a", "b", None, "", near, near + " x", "c"]
+    rows = [(k, t, f"s{k}", -k, "r", 0.5, True, "m", k, 3) for k, t in enumerate(texts)]
+    rows += [(7, "c", f"again{j}", j, "r", 0.1, None, "m", 0, 0) for j in range(5)] + [(None, "d", "n", 0, "r", 0.2, None, "m", 0, 0)]
+    docs = spark.createDataFrame(rows, CLASHING)
+    for some in (docs.repartition(4), docs.repartition(2, "mark")):
+        got = exact_dedup.keep(some)
+        assert got.columns == docs.columns
+        one = sorted(map(tuple, got.collect()), key=str)
+        assert [r[0] for r in sorted(one, key=lambda r: r[0] if r[0] is not None else -1)] == [None, 1, 2, 4, 5, 6, 7]
+        assert set(one) <= set(rows)
+        first = one if "first" not in locals() else first
+        assert one == first  # whichever way the rows are dealt
+    got = minhash.keep(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(str(r) for k, r in enumerate(rows) if k not in (1, 6))
+
+
 def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
@@ -85,8 +109,74 @@ def brute(rows, width):
     return {(i, len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("width", [4, 5])
-def test_classes(spark, width):
+def passages(n, own, seed=3, whole=120):
+    """n texts that share a passage and have ``own`` words each of their own, but for a few near copies."""
+    rng = random.Random(seed)
+    passage = [f"p{k}" for k in range(whole)]
+    rows = [(k, passage + [f"o{k}x{j}" for j in range(own(k))]) for k in range(n)]
+    rows += [(n + k, w[:-1] + [f"z{k}"]) for k, w in rows[:: max(1, n // 10)]]
+    rng.shuffle(rows)
+    return [(k, " ".join(w)) for k, w in rows]
+
+
+def test_passage_pairs_follow_the_documents(spark, monkeypatch):
+    looked = []
+    real = minhash.passage_pairs
+
+    def counted(hot, percent):
+        out = real(hot, percent)
+        looked.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "passage_pairs", counted)
+    monkeypatch.setattr(minhash, "_near", lambda *a, behind=False, near=minhash._near, **k: counted_near(near(*a, behind=behind, **k), looked if behind else None))
+    for n in (150, 300, 600):
+        rows = passages(n, lambda k: 32 + k % 3)  # pairs at 0.64 to 0.66: many bands, no link
+        looked.clear()
+        got = minhash.classes(spark.createDataFrame(rows, DOCS), 4).collect()
+        assert n > 200 or {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute(rows, 4)
+        assert sum(looked) < 4 * n, looked
+
+
+def counted_near(pool, looked):
+    if looked is not None:
+        looked.append(pool.count())
+    return pool
+
+
+@pytest.mark.parametrize("own", [lambda k: k % 40, lambda k: 14 + k % 9, lambda k: 5 * (k % 6)])
+def test_passages_around_the_threshold(spark, monkeypatch, own):
+    monkeypatch.setattr(minhash, "SMALL", 4)
+    rows = passages(150, own)
+    got = minhash.classes(spark.createDataFrame(rows, DOCS).repartition(3), 4).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute(rows, 4)
+
+
+def test_prefixes_meet(spark, tmp_path, monkeypatch):
+    """Every pair of the similarity is among passage_pairs(), hot shingles dealt or not."""
+    rng, folder = np.random.default_rng(5), f"file://{tmp_path}/sets"
+    (tmp_path / "sets").mkdir()
+    for percent, salts in ((80, 1), (80, 5), (50, 3)):
+        monkeypatch.setattr(minhash, "SALTS", salts)
+        sets, rows, at = {}, [], 0
+        base = np.sort(rng.choice(10**9, 60, replace=False)).astype(np.uint64)
+        with open(tmp_path / "sets" / "f", "wb") as out:
+            for rep in range(80):
+                x = np.unique(np.concatenate([base[rng.random(60) < rng.choice([0.9, 0.95, 1.0])], rng.choice(10**9, rng.integers(0, 12)).astype(np.uint64)]))
+                sets[rep] = set(x.tolist())
+                rows.append((rep, rep, f"{folder}/f", at, len(x)))
+                at += out.write(x.tobytes())
+        hot = spark.createDataFrame(rows, "rep long, component long, path string, at long, size long")
+        got = {(r.a, r.b) for r in minhash.passage_pairs(hot, percent).collect()}
+        want = {(a, b) for b in sets for a in range(b) if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+        assert want and want <= got
+
+
+@pytest.mark.parametrize(("width", "few", "small"), [(4, 200_000, 64), (5, 0, 3)])  # at once, or step by step
+def test_classes(spark, monkeypatch, width, few, small):
+    monkeypatch.setattr(minhash, "FEW", few)
+    monkeypatch.setattr(components_module, "FEW", few)
+    monkeypatch.setattr(minhash, "SMALL", small)
     rng, rows = random.Random(7), []
     vocabulary = [f"w{k}" for k in range(400)]
     for g in range(12):
@@ -159,7 +249,9 @@ def test_word_hashes_see_whole_words():
         assert scan.hashes(long, s, e)[1] == scan.hashes(long, s[1:], e[1:])[0]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components_module, "FEW", few)
     rng = random.Random(9)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(0, k) for k in range(300, 420)] + [(500 + k, 501 + k) for k in range(40)]
     parent = {}
@@ -194,3 +286,17 @@ def test_join_groups_splits_hot_keys(spark):
     some = groups.filter("key <> 'hot'")
     assert join_groups(rows, some, ["key", "other"], ["v"], 3000, F.xxhash64("id"), "inner").count() == 1000
     assert join_groups(rows, some, ["key", "other"], ["v"], 3000, F.xxhash64("id")).filter("v is null").count() == 2000
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf(dict):
+        def getConf(self):
+            return self
+
+    class Session:
+        sparkContext = Conf()
+        conf = {}
+
+    Session.sparkContext.master = "spark://host:7077"
+    with pytest.raises(RuntimeError):
+        shared_dir(Session)
