@@ -45,6 +45,8 @@ FEW = 200_000
 SMALL = 64
 #: Shingles in more sets than this are put last; hot ones are dealt over so many tasks.
 LIGHT, SALTS = 2, 16
+#: So many frequent shingles are broadcast, 16 bytes each; more are joined.
+MOST_FREQUENT = 1 << 19
 
 _SEEDS = scan.stream(101, 2 * PERMUTATIONS)
 _A = (_SEEDS[:PERMUTATIONS] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -227,25 +229,53 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     files.close()
 
 
+def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(x, c): how many of these sets hold each shingle, summed over some sets at a time."""
+    held, total = [], 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        x, c = np.unique(np.concatenate(held or [np.zeros(0, np.int64)]), return_counts=True)
+        for k in range(0, len(x), _STEP):
+            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + _STEP]), pa.array(c[k : k + _STEP].astype(np.int64))], names=["x", "c"])
+
+    for batch in _shingles(batches):
+        held.append(batch.column(1).to_numpy())
+        total += len(batch)
+        if total >= 16 * _STEP:
+            yield from flush()
+            held, total = [], 0
+    yield from flush()
+
+
 _FIRST = "x long, rep long, component long, n long, pos long, short boolean"
 
 
-def prefixes(percent: int):
+def prefixes(percent: int, known=None):
     """(x, rep, component, n, pos, short) of the first shingles of each set, rare ones in front.
 
-    Rows come as (rep, component, path, at, size, heavy): heavy lists the set's frequent shingles in order
-    of frequency; all others stand before them. Of two linked sets the first common shingle stands among
-    the smaller one's ``short`` rows and among the larger one's rows.
+    Rows come as (rep, component, path, at, size[, heavy]): heavy lists the set's frequent shingles in order
+    of frequency; or known, a broadcast (sorted shingles, counts), tells them. All others stand before them.
+    Of two linked sets the first common shingle stands among the smaller one's ``short`` rows and among the
+    larger one's rows.
     """
 
+    def order(x: np.ndarray, heavy: list[int] | None) -> np.ndarray:
+        if known is None:
+            last = np.array(heavy or [], np.int64)
+            return np.concatenate([x[~np.isin(x, last)], last])
+        names, counts = known.value
+        if not len(names):
+            return x
+        at = np.minimum(np.searchsorted(names, x), len(names) - 1)
+        return x[np.lexsort((x, np.where(names[at] == x, counts[at], 0)))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = _Files()
         for batch in batches:
-            for rep, component, path, at, n, heavy in zip(*[batch.column(k).to_pylist() for k in range(6)], strict=True):
-                x = files.get(path, at, n).view(np.int64)
-                heavy = np.array(heavy or [], np.int64)
+            rows = zip(*[batch.column(k).to_pylist() for k in range(5)], batch.column(5).to_pylist() if known is None else [None] * len(batch), strict=True)
+            for rep, component, path, at, n, heavy in rows:
                 most, least = n + percent * n // -100 + 1, n + 2 * percent * n // -(100 + percent) + 1
-                x = np.concatenate([x[~np.isin(x, heavy)], heavy])[:most]
+                x = order(files.get(path, at, n).view(np.int64), heavy)[:most]
                 for k in range(0, len(x), _STEP):
                     some = x[k : k + _STEP]
                     pos = np.arange(k, k + len(some))
@@ -263,12 +293,21 @@ def passage_pairs(hot: DataFrame, percent: int) -> DataFrame:
     and the first that a pair has in common lies within both sets' prefixes. Texts whose own words are more
     than the prefix meet on those alone, however many share a passage.
     """
-    total = hot.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    rows = hot.select("rep", "path", "at", "size").mapInArrow(_shingles, "rep long, x long")
-    counts = staged(rows.groupBy("x").agg(F.count(F.lit(1)).alias("group_size")).filter(F.col("group_size") > LIGHT).withColumn("c", F.col("group_size")), "frequent")
-    heavy = join_groups(rows, counts, ["x"], ["c"], total, F.xxhash64("rep"), "inner").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("heavy"))
-    first = hot.join(heavy, "rep", "left").select("rep", "component", "path", "at", "size", F.transform("heavy", lambda h: h["x"]).alias("heavy"))
-    first = staged(first.mapInArrow(prefixes(percent), _FIRST), "prefixes")
+    places = hot.select("rep", "path", "at", "size")
+    counts = places.mapInArrow(_tallied, "x long, c long").groupBy("x").agg(F.sum("c").alias("c")).filter(F.col("c") > LIGHT)
+    counts, own = staged(counts, "frequent"), None
+    if (n := counts.count()) <= MOST_FREQUENT:
+        known = counts.orderBy("x").toArrow()
+        own = hot.sparkSession.sparkContext.broadcast([known.column(k).to_numpy() for k in range(2)])
+        first = hot.select("rep", "component", "path", "at", "size").mapInArrow(prefixes(percent, own), _FIRST)
+    else:
+        rows = places.mapInArrow(_shingles, "rep long, x long")
+        total = hot.agg(F.sum("size")).first()[0]
+        frequent = counts.withColumn("group_size", F.col("c"))
+        heavy = join_groups(rows, frequent, ["x"], ["c"], total, F.xxhash64("rep"), "inner").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("heavy"))
+        first = hot.join(heavy, "rep", "left").select("rep", "component", "path", "at", "size", F.transform("heavy", lambda h: h["x"]).alias("heavy"))
+        first = first.mapInArrow(prefixes(percent), _FIRST)
+    first = prefix = staged(first, "prefixes")
     n = first.count()
     state = first.groupBy("x").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("group_size")).filter("lo < hi")
     first = join_groups(first, state.withColumn("held", F.col("group_size")), ["x"], ["held"], n, F.xxhash64("rep"), "inner")
@@ -282,7 +321,9 @@ def passage_pairs(hot: DataFrame, percent: int) -> DataFrame:
     turned = F.col("s.rep") > F.col("y.rep")
     pairs = met.select(F.least("s.rep", "y.rep").alias("a"), F.greatest("s.rep", "y.rep").alias("b"), F.when(turned, F.col("y.component")).otherwise(F.col("s.component")).alias("ca"), F.when(turned, F.col("s.component")).otherwise(F.col("y.component")).alias("cb"))
     out = staged(pairs.dropDuplicates(["a", "b"]), "pairs")
-    forget(counts, first)
+    forget(counts, prefix)
+    if own is not None:
+        own.unpersist()
     return out
 
 
