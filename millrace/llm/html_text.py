@@ -3,10 +3,10 @@
 Pages are sorted by host and URL path; each is paired with the neighbour of its host that shares the
 longer path prefix, their text lines (blocks) are aligned by a longest common subsequence, and shared
 lines are deleted. Differencing alone cannot tell a page's own advert from its article, nor an article
-passage that two pages share from a menu. So lines carry a zone read from the markup: lines of menus,
-headers, footers, sidebars, notices, adverts, forms and reader comments always go, lines inside
-<article> or <main> always stay, and differencing decides on all others, beside such a container too.
-(README: choice of method.)
+passage that two pages share from a menu. So lines carry a zone read from the markup, which settles
+those two cases only: shared lines inside <article> or <main> are protected, and of the lines that are
+not shared those of menus, headers, footers, sidebars, notices, adverts, forms and reader comments go.
+(README: choice of method, with the number of lines that each decides.)
 
 Neighbours are found by a sort over ranges of (host, path, page_id) with the edge rows of each range
 copied to the next, so a host with most pages is dealt out like any other.
@@ -169,14 +169,25 @@ def shared(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
+KEPT, SHARED, FURNISHED, PROTECTED = "kept", "shared", "furniture", "protected"
+
+
+def decisions(page: list[tuple[str, int]], partner: list[tuple[str, int]] | None) -> list[str]:
+    """What becomes of each line: differencing comes first, the markup settles what it cannot know.
+
+    A line shared with the partner goes (SHARED) unless it stands inside <article> or <main> (PROTECTED);
+    of the lines that are the page's own those of page furniture go (FURNISHED) and the others stay (KEPT).
+    """
+    gone = shared([text for text, _ in page], [text for text, _ in partner]) if partner else set()
+    out = [(PROTECTED if zone == MAIN else SHARED) if k in gone else (FURNISHED if zone == CHROME else KEPT) for k, (_, zone) in enumerate(page)]
+    if len(gone) == len(page) and PROTECTED not in out:  # nothing tells the two pages apart
+        out = [FURNISHED if zone == CHROME else KEPT for _, zone in page]
+    return out
+
+
 def main_text(page: list[tuple[str, int]], partner: list[tuple[str, int]] | None) -> str:
     """The page's own lines, joined by blank lines."""
-    texts = [text for text, _ in page]
-    gone = shared(texts, [text for text, _ in partner]) if partner else set()
-    kept = [text for k, (text, zone) in enumerate(page) if zone == MAIN or (zone == OPEN and k not in gone)]
-    if not kept and len(gone) == len(texts):
-        kept = [text for text, zone in page if zone == OPEN]
-    return "\n\n".join(kept)
+    return "\n\n".join(text for (text, _), why in zip(page, decisions(page, partner), strict=True) if why in (KEPT, PROTECTED))
 
 
 _URL = re.compile(r"^(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)([^?#]*)")
@@ -199,13 +210,14 @@ def _prefix(a: str, b: str) -> int:
 
 
 #: Pages a range aims at, and the most ranges, each of which sends an edge to the driver.
-RANGE, MOST_RANGES = 2_000, 10_000
+RANGE, MOST_RANGES = 2_000, 50_000
 #: Keys sampled for each range, and in all; the sample reaches the driver.
-SAMPLED, MOST_SAMPLED = 30, 100_000
+SAMPLED, MOST_SAMPLED = 30, 200_000
 
 
 def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
-    """(page_id, url, text, n_chars), one row per page."""
+    """(page_id, url, text, n_chars, n_shared, n_furniture, n_protected), one row per page; the last three
+    count the lines that differencing deleted, that the markup alone deleted, and that are shared but protected."""
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     names = rows.select("page_id", "url")
@@ -244,14 +256,14 @@ def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(out, schema=_PAGE)
 
     kind = "r int, edge boolean, h string, p string, page_id long, url string, texts array<string>, zones array<int>"
-    dealt = rows.mapInArrow(parse, kind).repartition(ranges, "r").sortWithinPartitions("r", "h", "p", "page_id")
-    return dealt.mapInArrow(_differenced, "page_id long, url string, text string, n_chars long")
+    dealt = rows.mapInArrow(parse, kind).repartitionById(ranges, F.col("r")).sortWithinPartitions("r", "h", "p", "page_id")
+    return dealt.mapInArrow(_differenced, "page_id long, url string, text string, n_chars long, n_shared int, n_furniture int, n_protected int")
 
 
 _EDGE_KEY = pa.struct([("h", pa.string()), ("p", pa.string()), ("i", pa.int64())])
 _EDGE = pa.schema([("r", pa.int32()), ("low", _EDGE_KEY), ("high", _EDGE_KEY)])
 _PAGE = pa.schema([("r", pa.int32()), ("edge", pa.bool_()), ("h", pa.string()), ("p", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("texts", pa.list_(pa.string())), ("zones", pa.list_(pa.int32()))])
-_TEXT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
+_TEXT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), *[(x, pa.int32()) for x in ("n_shared", "n_furniture", "n_protected")]])
 
 
 def _differenced(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,8 +284,9 @@ def _differenced(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = near(row, before), near(row, after)
         other = (before if a >= b else after) if max(a, b) >= 0 else None
         pair = list(zip(other["texts"], other["zones"], strict=True)) if other else None
-        found = main_text(list(zip(row["texts"], row["zones"], strict=True)), pair)
-        return {"page_id": row["page_id"], "url": row["url"], "text": found, "n_chars": len(found)}
+        why = decisions(list(zip(row["texts"], row["zones"], strict=True)), pair)
+        found = "\n\n".join(x for x, y in zip(row["texts"], why, strict=True) if y in (KEPT, PROTECTED))
+        return {"page_id": row["page_id"], "url": row["url"], "text": found, "n_chars": len(found), "n_shared": why.count(SHARED), "n_furniture": why.count(FURNISHED), "n_protected": why.count(PROTECTED)}
 
     before, row, out = None, None, []
     for after in stream():

@@ -131,6 +131,70 @@ def test_windows_end_with_their_row():
     assert abs(together[2][toxicity.FILTERS] - want) < 1e-4
 
 
+def test_long_texts_are_pooled_in_blocks(monkeypatch):
+    rng = np.random.default_rng(6)
+    net = toxicity._fresh()
+    net.table[:] = rng.normal(0, 1, net.table.shape)
+    words = ["a", "bb", "ccc,", "dddd\n", "vile", "é" * 9, "  ", "x" * 70]
+    for n in (0, 1, 2, 3, 40, 400):
+        data = np.frombuffer(" ".join(rng.choice(words, n)).encode(), np.uint8)
+        whole = net.pool(*toxicity.features(np.array([0, len(data)]), data))
+        for block in (1, 5, 64, 1000):
+            monkeypatch.setattr(toxicity, "BLOCK", block)
+            assert np.allclose(net.pool_long(data, 0, len(data)), whole, atol=1e-4)
+
+
+def test_operators_on_a_text_of_ten_megabytes(spark):
+    docs, labels = labelled_docs(spark, 300)
+    big = spark.createDataFrame([(5000, (CLEAN + "\n") * 120_000, "en", 1)], docs.schema)
+    some = big.unionByName(docs.limit(20))
+    got = {r.doc_id: r.score for r in toxicity.scored(some, toxicity.train(docs, labels)).collect()}
+    assert len(got) == 21 and got[5000] < 0.5
+    assert quality_model.classify(some, labels).filter("doc_id = 5000").first().score >= 0
+    pages = spark.createDataFrame([(1, "https://a.org/1", "<p>menu</p><article>" + f"<p>{CLEAN}</p>" * 60_000), (2, "https://a.org/2", "<p>menu</p><article><p>b")], "page_id long, url string, html string")
+    assert {r.page_id: r.n_chars for r in html_text.extract(pages).collect()} == {1: 60_000 * (len(CLEAN) + 2) - 2, 2: 1}
+
+
+def plain_text(pages):
+    """Pairing by trying all pages of a host, deletion by the table of longest common subsequences."""
+    out = {}
+    parsed = {i: (html_text.key(url, i), html_text.lines(html or "")) for i, url, html in pages}
+    for i, (k, page) in parsed.items():
+        order = sorted(v[0] for v in parsed.values() if v[0][0] == k[0])
+        at = order.index(k)
+        near = [order[j] for j in (at - 1, at + 1) if 0 <= j < len(order)]
+        prefix = lambda o: next((n for n, (x, y) in enumerate(zip(o[1], k[1], strict=False)) if x != y), min(len(o[1]), len(k[1])))  # noqa: B023, E731
+        best = max(near, key=lambda o: (prefix(o), o < k), default=None)
+        other = next((v[1] for v in parsed.values() if v[0] == best), [])
+        a, b = [t for t, _ in page], [t for t, _ in other]
+        out[i] = (len(page) - lcs(a, b), page)
+    return out
+
+
+def test_pairs_and_deletions_equal_a_plain_way(spark):
+    rng = random.Random(4)
+    menu = [f"<p>menu {k}</p>" for k in range(4)]
+    pages = []
+    for i in range(60):
+        host, path = rng.choice(["a.org", "b.org"]), "/".join(rng.choice("xy") * rng.randrange(1, 3) for _ in range(3))
+        own = [f"<p>own {i} {k}</p>" for k in range(rng.randrange(1, 4))]
+        body = [x for x in menu if rng.random() < 0.8] + own + rng.choices(["<p>foot</p>", "<p>legal</p>"], k=2)
+        pages.append((i, f"https://{host}/{path}/{i}", "".join(body)))
+    want = plain_text(pages)
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for r in html_text.extract(df, 5).collect():
+        n_left, page = want[r.page_id]
+        assert len(r.text.split("\n\n")) == n_left and r.n_shared == len(page) - n_left > 0 and r.n_furniture == r.n_protected == 0
+        assert all(t in r.text.split("\n\n") for t, _ in page if t.startswith("own"))
+
+
+def test_each_decides(spark):
+    head = "<nav>menu</nav><p>Site name</p>"
+    pages = [(k, f"https://a.org/{k}", f"{head}<div class=ad>buy {k}</div><article><p>same</p><p>own {k}</p></article>") for k in (1, 2)]
+    got = html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {(r.text, r.n_shared, r.n_furniture, r.n_protected) for r in got} == {("same\n\nown 1", 2, 1, 1), ("same\n\nown 2", 2, 1, 1)}
+
+
 def test_held_out_is_a_fifth(spark):
     share = spark.range(5000).select(F.col("id").alias("doc_id")).select(F.avg(labelled.held_out().cast("int"))).first()[0]
     assert 0.17 < share < 0.23
