@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import exact_dedup, minhash, packing, quality_model, toxicity
-from millrace.llm._spark import ready, staged, table
+from millrace.llm._spark import forget, ready, staged, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,5 +53,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        last, docs = docs, staged(stage(spark, docs, sf_dir), name)
+        forget(last)
     return STAGES[-1][1](spark, docs, sf_dir)
