@@ -43,8 +43,8 @@ MARGIN = 0.16
 FEW = 200_000
 #: Members of a bucket that are compared with each other after the hub rounds.
 SMALL = 64
-#: Shingles in more sets than this are put last; hot ones are dealt over so many tasks.
-LIGHT, SALTS = 2, 16
+#: Shingles in more sets than this are put last.
+LIGHT = 2
 #: So many frequent shingles are broadcast, 16 bytes each; more are joined.
 MOST_FREQUENT = 1 << 19
 
@@ -309,15 +309,14 @@ def passage_pairs(hot: DataFrame, percent: int) -> DataFrame:
         first = first.mapInArrow(prefixes(percent), _FIRST)
     first = prefix = staged(first, "prefixes")
     n = first.count()
-    state = first.groupBy("x").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("group_size")).filter("lo < hi")
-    first = join_groups(first, state.withColumn("held", F.col("group_size")), ["x"], ["held"], n, F.xxhash64("rep"), "inner")
-    wide = F.col("held") >= F.lit(max(2, int(n * HOT_SHARE)))
-    salt = F.when(wide, F.pmod(F.xxhash64("rep"), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
-    s = first.filter("short").withColumn("salt", salt).alias("s")
-    y = first.withColumn("salt", F.explode(F.when(wide, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))).alias("y")
+    # of each shingle the component with most rows is its lead: its rows need not meet each other
+    state = first.groupBy("x", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("x").agg(F.max(F.struct("c", "component"))["component"].alias("lead"), F.count(F.lit(1)).alias("several"), F.sum("c").alias("group_size"))
+    first = join_groups(first, state.filter("several > 1").drop("several"), ["x"], ["lead"], n, F.xxhash64("rep"), "inner").withColumn("leads", F.col("component") == F.col("lead"))
+    s = first.filter("short").withColumn("meets", F.explode(F.when(F.col("leads"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True))))).alias("s")
+    y = first.alias("y")
     ordered = (F.col("s.n") < F.col("y.n")) | ((F.col("s.n") == F.col("y.n")) & (F.col("s.rep") < F.col("y.rep")))
     room = F.least(F.col("s.n") - F.col("s.pos"), F.col("y.n") - F.col("y.pos")) * (100 + percent) >= percent * (F.col("s.n") + F.col("y.n"))
-    met = s.join(y, (F.col("s.x") == F.col("y.x")) & (F.col("s.salt") == F.col("y.salt")) & (F.col("s.component") != F.col("y.component")) & ordered & (100 * F.col("s.n") >= percent * F.col("y.n")) & room)
+    met = s.join(y, (F.col("s.x") == F.col("y.x")) & (F.col("s.meets") == F.col("y.leads")) & (F.col("s.component") != F.col("y.component")) & ordered & (100 * F.col("s.n") >= percent * F.col("y.n")) & room)
     turned = F.col("s.rep") > F.col("y.rep")
     pairs = met.select(F.least("s.rep", "y.rep").alias("a"), F.greatest("s.rep", "y.rep").alias("b"), F.when(turned, F.col("y.component")).otherwise(F.col("s.component")).alias("ca"), F.when(turned, F.col("s.component")).otherwise(F.col("y.component")).alias("cb"))
     out = staged(pairs.dropDuplicates(["a", "b"]), "pairs")
