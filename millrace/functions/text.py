@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 # Lines that begin like this are furniture; function words; the reader's error line.
-JUNK_LINE = r"(?i)^\s*(share this|advertisement|sign up|subscribe|read more|related stories|cookie|accept all|newsletter|follow us|©|all rights reserved)(?:[^a-zA-Z0-9_]|$)"
+# A phrase ends where a word does; a copyright sign counts only with a word right behind it.
+JUNK_LINE = r"(?i)^\s*(?:(?:share this|advertisement|sign up|subscribe|read more|related stories|cookie|accept all|newsletter|follow us|all rights reserved)(?:[^\p{L}\p{N}_]|$)|©[\p{L}\p{N}_])"
 FRENCH = "le la les des du pour dans une est sur aux par avec cette selon sont leur plus entre ainsi nous ont etre fait aussi donc".split()
 ENGLISH = "the of and to in for is that with from this has was are by on at as it be which".split()
 WORD = "[a-zà-ÿ']{2,}"
@@ -56,8 +57,8 @@ def clip(value: Column, limit: int) -> Column:
 
 
 def without_control(value: Column) -> Column:
-    """Without the code points that XML 1.0 forbids."""
-    return F.regexp_replace(text_of(value), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x84\x86-\x9F﷐-﷟￾￿]", "")
+    """Without the control characters that no XML parser accepts."""
+    return F.regexp_replace(text_of(value), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\x{FFFE}\x{FFFF}]", "")
 
 
 def title_key(value: Column) -> Column:
@@ -78,9 +79,14 @@ def ranking_text(title: Column, text: Column, chars: int = 240) -> Column:
 
 def passages(value: Column, title: Column | None = None, size: int = CHUNK, step: int = STEP, least: int = LEAST) -> Column:
     """Overlapping windows of the collapsed text, those over ``least`` long, each with the title in front."""
-    body = collapsed(value)
-    starts = F.sequence(F.lit(0), F.greatest(F.length(body) - 1, F.lit(0)), F.lit(step))
-    cut = F.filter(F.transform(starts, lambda i: F.substring(body, i + 1, F.lit(size))), lambda x: F.length(x) > least)
+
+
+    def windows(body: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.length(body) - 1, F.lit(0)), F.lit(step))
+        return F.filter(F.transform(starts, lambda i: F.substring(body, i + 1, F.lit(size))), lambda x: F.length(x) > least)
+
+    # bound as a lambda's variable the collapsed text is computed once, not once for each window
+    cut = F.flatten(F.transform(F.array(collapsed(value)), windows))
     if title is None:
         return cut
     head = F.when(F.trim(text_of(title)) == "", "").otherwise(F.concat(F.trim(title), F.lit(". ")))

@@ -42,7 +42,7 @@ def valid_url(url: Column) -> Column:
 def canonical_url(url: Column) -> Column:
     """One address per article: lower-case host without www., then m., then amp.; no tracking
     parameters, no trailing slash, no fragment. Text without an authority is returned as it is.
-    Parameters keep their spelling; see operators.links.canonical_urls for full re-encoding."""
+    Parameters keep their spelling; see operators.extract.canonical_urls for full re-encoding."""
     text = _text(url)
     host = authority(url)
     for prefix in (r"^www\.", r"^m\.", r"^amp\."):

@@ -32,14 +32,17 @@ def unstored(found: DataFrame, corpus: DataFrame) -> DataFrame:
 MOST_QUERIES = 4096
 
 
-def similar(corpus: DataFrame, queries: DataFrame, floor: float = FLOOR, per_url: int = PER_URL, limit: int = LIMIT, domains: list[str] | None = None, vec: str = "vec") -> DataFrame:
+def similar(corpus: DataFrame, queries: DataFrame, floor: float = FLOOR, per_url: int = PER_URL, limit: int = LIMIT, domains: list[str] | None = None, vec: str = "vec", model: str | None = None) -> DataFrame:
     """(query_id, id, url, score, rank_pos): the nearest passages above the floor, few per url.
 
+    model: only passages of this model are compared, as vectors of different models share no space.
     queries: (query_id, vec), any number, taken in blocks of MOST_QUERIES; beyond one block they are read
     partition by partition, and only the block at hand is held by the driver. Scores come from one matrix
     product per Arrow batch and block; each task returns only rows that can still be among its own best,
     so what is shuffled is bounded by tasks x queries x limit x urls, not by the corpus.
     """
+    if model is not None:
+        corpus = corpus.filter(F.col("model") == model)
     wanted = queries.select("query_id", "vec")
     first = wanted.limit(MOST_QUERIES + 1).collect()
     blocks = [first] if len(first) <= MOST_QUERIES else _blocks(wanted.toLocalIterator())

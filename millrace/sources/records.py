@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 DOMAIN = "domain string, ok double, fail double, ts timestamp"
@@ -15,5 +17,13 @@ def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write(record: DataFrame, path: str) -> None:
-    """Spark commits a job's files together, so readers never see half a record."""
-    record.write.mode("overwrite").json(path)
+    """Written aside and then renamed: a failed job leaves the old record as it was."""
+    spark = record.sparkSession
+    aside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    record.write.json(aside)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    new, old = hadoop.Path(aside), hadoop.Path(path)
+    files = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(old, True)
+    if not files.rename(new, old):
+        raise OSError(f"{aside} could not be renamed to {path}")

@@ -78,3 +78,22 @@ def test_age(spark, raw, days):
 
 def test_backoff(spark):
     assert values(spark, lambda c: scores.backoff(c), [1, 2, 4, 9, 5000], "int") == [300.0, 600.0, 2400.0, 3600.0, 3600.0]
+
+
+def test_furniture_lines(spark):
+    """Expected lines stand here as literals, not by the pattern."""
+    kept = ["© 2024 Example Ltd", "Subscribers gained", "cookieé", "Signs up", "a newsletter"]
+    gone = ["©2024 Example", "Subscribe now", "  Cookie, please", "SIGN UP", "Newsletter", "All rights reserved."]
+    rows = spark.createDataFrame([(x,) for x in kept + gone], "t string").select("t", text.tidy(F.col("t")).alias("out")).collect()
+    assert {r.t for r in rows if r.out} == set(kept) and {r.t for r in rows if not r.out} == set(gone)
+
+
+def test_passages_of_a_long_text(spark):
+    whole = "some words " * 30_000
+    out = spark.createDataFrame([(whole,)], "t string").select(text.passages(F.col("t")).alias("p")).first().p
+    assert len(out) == 330 and out[7] == whole[7000:8200] and all(len(x) <= 1200 for x in out)
+
+
+def test_control_characters(spark):
+    df = spark.createDataFrame([("a\x00b\x0bc\x7fd\x85e\tf\n",)], "t string")
+    assert df.select(text.without_control(F.col("t"))).first()[0] == "abcd\x85e\tf\n"

@@ -123,3 +123,33 @@ def test_scans():
     assert scans.read([b"a"], ["eng", "ara"], recognise, lambda i: "Arabic") == ("arabic text", "")
     assert scans.read([], ["eng"], recognise, lambda i: "")[1] == "no_pages" and scans.read([b"e"], [], recognise, lambda i: "")[1] == "no_language_data"
     assert len(scans.read([b"e"] * 20, ["eng"], recognise, lambda i: "")[0].split("\n\n")) == scans.MOST_PAGES
+
+
+def packed(**members):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, value in members.items():
+            z.writestr(name.replace("__", "/").replace("_", "."), value)
+    return out.getvalue()
+
+
+def test_empty_cells_keep_their_columns():
+    assert documents.to_text(b"a,b,c\n1,,3\n,,5\n", "csv") == ("a | b | c\n1 | | 3\n5", "")
+    sheet = "<worksheet><sheetData><row><c r='A1'><v>1</v></c><c r='D1'><v>4</v></c></row></sheetData></worksheet>"
+    book = packed(xl__workbook_xml="<workbook><sheets><sheet name='S'/></sheets></workbook>", xl__worksheets__sheet1_xml=sheet)
+    assert documents.to_text(book, "xlsx") == ("## S\n1 | | | 4", "")
+    assert [documents._place(x) for x in ("A1", "Z9", "AA3", None)] == [0, 25, 26, 0]
+
+
+def test_chapters_in_reading_order():
+    page = lambda n: f"<html><body><p>chapter {n}</p></body></html>"
+    opf = "<package><manifest>" + "".join(f"<item id='i{n}' href='c{n}.xhtml'/>" for n in (1, 2, 10)) + "</manifest><spine>" + "".join(f"<itemref idref='i{n}'/>" for n in (1, 2, 10)) + "</spine></package>"
+    book = packed(O__p_opf=opf, **{f"O__c{n}_xhtml": page(n) for n in (10, 1, 2)})
+    assert documents.to_text(book, "epub")[0].split() == ["chapter", "1", "chapter", "2", "chapter", "10"]
+
+
+def test_an_article_is_kept_whole():
+    from millrace.operators.extract import _density
+
+    html = "<body><div><a href='x'>menu menu menu menu</a></div><article><div><p>first part of it</p></div><section><p>second part</p></section></article></body>"
+    assert _density(html)[0].split() == "first part of it second part".split()
