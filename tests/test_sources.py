@@ -153,3 +153,27 @@ def test_an_article_is_kept_whole():
 
     html = "<body><div><a href='x'>menu menu menu menu</a></div><article><div><p>first part of it</p></div><section><p>second part</p></section></article></body>"
     assert _density(html)[0].split() == "first part of it second part".split()
+
+
+def test_bodies_are_opened_by_their_bytes(spark, monkeypatch):
+    from millrace.plans import fetch
+
+    page = b"<html><body><article>" + b"word " * 300 + b"</article></body></html>"
+    assert fetch.opened(DOCX, "https://a.org/x", "text/html")[1:] == ("Hello\na | b/c", "", "docx")  # the signature decides
+    assert fetch.opened(page, "https://a.org/x.xlsx", "application/vnd.ms-excel")[0].startswith("<html>")  # a document that is a page
+    assert fetch.opened(b"\x00" * 2000, "https://a.org/x", "image/png")[2] == "content_type:image/png"
+    assert fetch.opened(b"%PDF-1.4 broken", "https://a.org/x")[2:] != ("", "") and fetch.opened(b"", "", "") == ("", "", "", "")
+    monkeypatch.setattr(fetch, "MOST_DOCUMENT", 10)
+    assert fetch.opened(DOCX)[2:] == ("document_too_large", "docx")
+    monkeypatch.undo()
+    tier = fetch.direct(lambda u: (200, "", RTF) if "rtf" in u else (403, "", b"Just a moment") if "wall" in u else (404, "", b""))
+    got = fetch.Ladder((("direct", tier),)).run("https://a.org/rtf")
+    assert (got["ok"], got["extractor"], got["text"]) == (True, "rtf", "Hello\ncafé €{x}")  # short documents are whole answers
+    assert fetch.Ladder((("direct", tier),)).run("wall")["reason"] == "direct:challenge_needs_a_human" and tier("x")[2] == "http_404"
+    bodies = spark.createDataFrame([("https://a.org/1", bytearray(DOCX), ""), ("https://a.org/2", bytearray(page), "text/html"), ("https://a.org/3", bytearray(b"x"), "image/png")], "url string, content binary, content_type string")
+    asked = spark.createDataFrame([(f"https://a.org/{k}",) for k in range(1, 5)], "url string")
+    rows = {r.url[-1]: r for r in fetch.fetch(asked, bodies).collect()}
+    assert rows["1"].content == "Hello\na | b/c" and rows["1"].tier == "pages/docx" and "wordprocessing" in rows["1"].content_type
+    assert rows["2"].quality == "ok" and rows["2"].content_type == "text/html" and rows["3"].failure_reason == "content_type:image/png"
+    assert rows["4"].failure_reason == "not_in_pages"
+    assert {r.url[-1]: r.content for r in fetch.fetch(asked, bodies, form="html").collect()}["2"].startswith("<html>")
