@@ -28,8 +28,9 @@ def query_terms(queries: DataFrame, query: str = "query") -> DataFrame:
 def bm25(pool: DataFrame, queries: DataFrame, recency: float = 0.0, as_of: Column | None = None, half_life: float = 21.0) -> DataFrame:
     """pool (query_id, input_pos, title, text, published) with score and rank_pos.
 
-    Rows that match nothing score 0 and stay. Text is read once: each row keeps only its length and
-    the counts of its query's terms, so what is shuffled is small however long the texts are. The
+    Rows that match nothing score 0 and stay. Texts are read twice, for the pool's statistics and for the
+    scores: each row keeps only its length and the counts of its query's terms, so what the statistics
+    shuffle is small however long the texts are. The
     terms of a query ride along as one array; the number of queries' rows bounds that table.
     """
     terms = query_terms(queries).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("terms"))
@@ -37,11 +38,12 @@ def bm25(pool: DataFrame, queries: DataFrame, recency: float = 0.0, as_of: Colum
     rows = pool.withColumn("__tokens", tokens).join(terms, "query_id", "left")
     counts = F.transform(F.col("terms"), lambda t: F.size(F.filter(F.col("__tokens"), lambda x: x == t["term"])))
     rows = rows.withColumn("__tf", counts).withColumn("__len", F.size("__tokens")).drop("__tokens")
-    # one small row of statistics per query; no row of the pool meets another
-    width = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.avg("__len").alias("mean"))
-    df = rows.select("query_id", F.posexplode("__tf").alias("i", "tf")).groupBy("query_id", "i").agg(F.sum((F.col("tf") > 0).cast("int")).alias("df"))
-    df = df.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "df"))).alias("df"))
-    rows = rows.join(width.join(df, "query_id", "left"), "query_id")
+    # one small row of statistics per query, from one pass over the texts; no row of the pool meets another
+    seen = rows.select("query_id", "__len", F.posexplode_outer("__tf").alias("i", "tf")).groupBy("query_id", "i")
+    seen = seen.agg(F.count(F.lit(1)).alias("n"), F.avg("__len").alias("mean"), F.sum((F.col("tf") > 0).cast("int")).alias("df"))
+    entry = F.when(F.col("i").isNotNull(), F.struct("i", "df"))
+    df = seen.groupBy("query_id").agg(F.max("n").alias("n"), F.max("mean").alias("mean"), F.map_from_entries(F.collect_list(entry)).alias("df"))
+    rows = rows.join(df, "query_id")
     norm = 0.25 + 0.75 * F.greatest(F.col("__len"), F.lit(1)) / F.col("mean")
 
     def part(tf: Column, i: Column) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, fields
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from millrace.functions import urls
 from millrace.operators import corpus as store, dedup, ranking
 from millrace.plans import fetch as fetching
+from millrace.sources import feeds
 
 
 @dataclass(frozen=True)
@@ -38,15 +41,55 @@ class Options:
 OVERFETCH = 3
 
 
-def search(queries: DataFrame, sources: list[DataFrame], options: Options = Options(), hits: DataFrame | None = None, domains: DataFrame | None = None, as_of: Column | None = None, score=None) -> tuple[DataFrame, list[str]]:
+#: A source: (query_id, query, domain) rows into (query_id, domain, input_pos, url, title, ...) rows.
+Source = Callable[[DataFrame], DataFrame]
+
+
+def appended(pool: DataFrame, rows: DataFrame, key: Column) -> DataFrame:
+    """pool with the rows whose key is no canonical address of the query's pool, each key once, behind its own."""
+    known = pool.select("query_id", urls.canonical_url(F.col("url")).alias("__key"))
+    fresh = rows.withColumn("__key", key).filter(F.col("__key") != "").join(known, ["query_id", "__key"], "left_anti")
+    once = fresh.withColumn("__n", F.row_number().over(Window.partitionBy("query_id", "__key").orderBy("input_pos", "url"))).filter("__n = 1")
+    last = pool.groupBy("query_id").agg(F.max("input_pos").alias("__last"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("input_pos", "url")) + F.coalesce("__last", F.lit(0))
+    return pool.unionByName(once.join(last, "query_id", "left").withColumn("input_pos", place).drop("__key", "__n", "__last"), allowMissingColumns=True)
+
+
+def swept(pool: DataFrame, queries: DataFrame, prefer: list[str], source: Source) -> DataFrame:
+    """pool with rows from preferred domains, for the queries whose pool is short of them.
+
+    Their key is weaker than the pool's own: the address without its query and last slash.
+    """
+    short = queries.join(ranking.trusted_share(pool, prefer).filter("sweep").select("query_id"), "query_id", "left_semi")
+    found = feeds.on_domain(source(feeds.sweep_queries(short, prefer)))
+    order = Window.partitionBy("query_id").orderBy("domain", "input_pos")
+    rows = found.withColumn("input_pos", F.row_number().over(order)).drop("domain")
+    return appended(pool, rows, F.regexp_replace(F.substring_index(F.col("url"), "?", 1), "/+$", ""))
+
+
+def with_headlines(pool: DataFrame, rows: DataFrame) -> DataFrame:
+    """pool with the first headlines (query_id, input_pos, title, ...) of each query whose title it lacks."""
+    fresh = dedup.unknown_titles(rows, pool)
+    last = pool.groupBy("query_id").agg(F.max("input_pos").alias("__last"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("input_pos")) + F.coalesce("__last", F.lit(0))
+    return pool.unionByName(fresh.join(last, "query_id", "left").withColumn("input_pos", place).drop("__last"), allowMissingColumns=True)
+
+
+def search(queries: DataFrame, sources: list[DataFrame], options: Options = Options(), hits: DataFrame | None = None, domains: DataFrame | None = None, as_of: Column | None = None, score=None, sweep: Source | None = None, headlines: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
     """(rows, stages) for any number of queries at once.
 
     queries: (query_id, query); sources: pools in order of preference, each (query_id, input_pos, url,
     title, text, ...); hits: corpus rows to merge; domains: the record for reordering; score: a
-    reranking model's column maker.
+    reranking model's column maker; sweep: a source asked for the preferred domains where a pool is
+    short of them; headlines: rows without an address that stand behind the pool's own.
     """
-    stages = ["merge", "dedup", "junk", "band"]
+    stages = ["merge", "dedup", "junk"]
     pool = ranking.without_junk(dedup.greedy(dedup.merged(sources)))
+    if headlines is not None:
+        pool, stages = with_headlines(pool, headlines), [*stages, "headlines"]
+    if sweep is not None and options.prefer:
+        pool, stages = swept(pool, queries, list(options.prefer), sweep), [*stages, "sweep"]
+    stages = [*stages, "band"]
     pool = ranking.limited(ranking.banded(pool, list(options.prefer)), 2 * OVERFETCH * options.limit)
     pool = pool.drop("input_pos").withColumnRenamed("rank_pos", "input_pos").drop("band")
     if hits is not None:

@@ -263,6 +263,28 @@ def trusted_share(spark, d):
     return ranking.trusted_share(pool, PREFER).select("query_id", F.round("share", 6).alias("share"), "sweep")
 
 
+# Rows of a stated source: the pages themselves, found again under each domain that they lie on.
+SWEEP = ["example.org"]
+_ON = f"({S.search_domain('url')} = '{SWEEP[0]}' OR ends_with({S.search_domain('url')}, '.{SWEEP[0]}'))"
+_SWEPT = f"""WITH pool AS (SELECT input_pos, input_pos % 3 AS query_id, url FROM ({_POOL})),
+  short AS (SELECT query_id, max(input_pos) AS last FROM pool GROUP BY query_id HAVING avg(CASE WHEN {_ON} THEN 1.0 ELSE 0.0 END) < 0.35),
+  found AS (SELECT s.query_id, s.last, p.url, regexp_replace(split_part(p.url, '?', 1), '/+$', '') AS key, p.page_id FROM short s, pages p WHERE {_ON.replace('url', 'p.url')}),
+  fresh AS (SELECT *, row_number() OVER (PARTITION BY query_id, key ORDER BY page_id) AS n FROM found f
+    WHERE key <> '' AND NOT EXISTS (SELECT 1 FROM pool q WHERE q.query_id = f.query_id AND {S.canonical_url('q.url')} = f.key))
+  SELECT query_id, key FROM fresh WHERE n = 1"""
+
+
+@query(_SWEPT)
+def sweep_rows(spark, d):
+    """The rows that a sweep adds, by their weaker key."""
+    pool = page_pool(spark, d).withColumn("query_id", F.col("input_pos") % 3)
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("input_pos"), "url", F.lit("").alias("title"), F.lit(True).alias("swept"))
+    queries = spark.createDataFrame([(k, f"query {k}") for k in range(3)], "query_id long, query string")
+    rows = search.swept(pool, queries, SWEEP, lambda asked: pages.crossJoin(F.broadcast(asked.select("query_id", "domain"))))  # a stated, short list against all rows
+    key = F.regexp_replace(F.substring_index(F.col("url"), "?", 1), "/+$", "")
+    return rows.filter("swept").select("query_id", key.alias("key"))
+
+
 @query(f"SELECT {S.search_domain('url')} AS source, count(*) AS rows FROM pages GROUP BY 1")
 def source_counts(spark, d):
     return page_pool(spark, d).groupBy(F.col("query_id").alias("source")).agg(F.count(F.lit(1)).alias("rows"))

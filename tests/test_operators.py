@@ -278,3 +278,26 @@ def test_anchors_read_every_kind_of_value(spark):
     html = """<a href="/a">A</a> <a class='x' href='/b?q="1"'>B</a> <a href=/c>C</a> <a title="the href=no" HREF = /d class=y>D</a> <a title='x' href='#e'>E</a> <a data-x=it's href="/f">F</a>"""
     got = extract.anchors(spark.createDataFrame([("https://x.org/p", html), ("https://x.org/q", None)], "url string, html string")).collect()
     assert [(r.pos, r.href, r.label) for r in sorted(got, key=lambda r: r.pos)] == [(0, "/a", "A"), (1, '/b?q="1"', "B"), (2, "/c", "C"), (3, "/d", "D"), (5, "/f", "F")]
+
+
+def test_sweep_and_headlines(spark):
+    schema = "query_id int, input_pos int, url string, title string"
+    pool = spark.createDataFrame([(1, 0, "https://a.org/x", "one"), (1, 1, "https://b.org/y", "two"), (2, 0, "https://good.org/z", "three")], schema)
+    queries = spark.createDataFrame([(1, "first"), (2, "second")], "query_id int, query string")
+    found = [("https://good.org/n?u=1", "new"), ("https://good.org/n/", "again"), ("https://sub.good.org/m", "sub"), ("https://bad.org/n", "off"), ("https://a.org/x?z=1", "off")]
+    asked = []
+
+    def source(rows):
+        asked.extend(rows.collect())
+        return spark.createDataFrame([(r.query_id, r.domain, k, u, t) for r in rows.collect() for k, (u, t) in enumerate(found)], "query_id int, domain string, input_pos int, url string, title string")
+
+    got = search.swept(pool, queries, ["good.org", "a.org"], source).orderBy("query_id", "input_pos").collect()
+    assert not asked and [r.query_id for r in got] == [1, 1, 2]  # half of each pool is trusted: nothing to do
+    got = search.swept(pool, queries, ["good.org"], source).filter("query_id = 1").orderBy("input_pos").collect()
+    assert [r.query for r in asked] == ["site:good.org first"]
+    assert [r.url for r in got] == ["https://a.org/x", "https://b.org/y", "https://good.org/n?u=1", "https://sub.good.org/m"] and len({r.input_pos for r in got}) == 4
+    heads = spark.createDataFrame([(1, 0, "One"), (1, 1, "Fresh"), (1, 2, "fresh"), (3, 0, "Alone")], "query_id int, input_pos int, title string")
+    got = search.with_headlines(pool, heads).orderBy("query_id", "input_pos").collect()
+    assert [r.title for r in got if r.query_id == 1] == ["one", "two", "Fresh"] and [r.title for r in got if r.query_id == 3] == ["Alone"]
+    rows, stages = search.search(queries, [pool.withColumns({"text": F.lit(""), "published": F.lit("")})], search.Options(prefer=("good.org",)), sweep=source, headlines=heads)
+    assert "sweep" in stages and "headlines" in stages and "https://sub.good.org/m" in {r.url for r in rows.collect()}
