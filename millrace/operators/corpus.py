@@ -131,6 +131,14 @@ def retained(corpus: DataFrame, as_of: Column, days: int = KEEP_DAYS, most: int
     return whole.unionByName(part).select(*corpus.columns)
 
 
+def prune_counts(corpus: DataFrame, as_of: Column, days: int = KEEP_DAYS, most: int = MOST_ROWS) -> DataFrame:
+    """(model, expired, total, over): what retained() drops by age, what is left before the cap, and what
+    the cap drops. One partial aggregation; no row is sorted."""
+    young = F.unix_micros("ts") >= F.unix_micros(as_of) - F.lit(days * 86400 * 1_000_000)
+    counts = corpus.groupBy("model").agg(F.count_if(~young).alias("expired"), F.count_if(young).alias("total"))
+    return counts.withColumn("over", F.greatest(F.col("total") - most, F.lit(0)))
+
+
 def statistics(corpus: DataFrame) -> DataFrame:
     """(model, passages, urls)."""
     return corpus.groupBy("model").agg(F.count(F.lit(1)).alias("passages"), F.countDistinct("url").alias("urls"))

@@ -344,6 +344,11 @@ def corpus_prune(spark, d):
     return corpus.retained(_event_corpus(spark, d), as_of(), days=20, most=1000).select("id", "model")
 
 
+@query(f"SELECT event_type AS model, count(*) FILTER (WHERE {AGE} > 20 * 86400000000) AS expired, count(*) FILTER (WHERE {AGE} <= 20 * 86400000000) AS total, greatest(count(*) FILTER (WHERE {AGE} <= 20 * 86400000000) - 50, 0) AS over FROM events GROUP BY 1")
+def corpus_prune_counts(spark, d):
+    return corpus.prune_counts(_event_corpus(spark, d), as_of(), days=20, most=50)
+
+
 # ---- cache ----
 
 _ENTRIES = "SELECT CASE event_type WHEN 'signup' THEN 'search' WHEN 'view' THEN 'extract' WHEN 'click' THEN 'robots' WHEN 'purchase' THEN 'fetch' ELSE 'other' END AS kind, user_id AS key, ts, event_id AS seq, props AS value FROM events"
@@ -515,6 +520,23 @@ def mrr_eval(spark, d):
     return report.evaluation(best).select(F.round("mrr", 6).alias("mrr"), F.round("acc1", 6).alias("acc1"))
 
 
+@query("""WITH s AS (SELECT source, CAST(n_chars AS DOUBLE) AS score, quality = 1 AS good FROM documents JOIN labels USING (doc_id)),
+  best AS (SELECT source, max(score) FILTER (WHERE good) AS g, max(score) FILTER (WHERE NOT good) AS b FROM s GROUP BY source),
+  ranks AS (SELECT source, g, b, CASE WHEN g IS NOT NULL THEN 1 + (SELECT count(*) FROM s WHERE s.source = best.source AND NOT s.good AND s.score > best.g) END AS r FROM best)
+  SELECT round(avg(coalesce(1.0 / r, 0)), 6) AS mrr, round(avg(CASE WHEN r = 1 THEN 1.0 ELSE 0.0 END), 6) AS acc1, round(avg(g - b), 6) AS margin FROM ranks""")
+def retrieval_margin(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.col("source").alias("query_id"), F.col("n_chars").cast("double").alias("score")).join(table(spark, d, "labels").select("doc_id", (F.col("quality") == 1).alias("right")), "doc_id")
+    return report.margins(rows).select(*[F.round(x, 6).alias(x) for x in ("mrr", "acc1", "margin")])
+
+
+@query("""WITH c AS (SELECT user_id, count(*) AS found, count(*) FILTER (WHERE event_type <> 'error') AS extracted, count(*) FILTER (WHERE event_type = 'view') AS thin, max(event_id) % 977 AS ms FROM events GROUP BY user_id), d AS (SELECT * FROM c WHERE user_id % 7 <> 0)
+  SELECT (SELECT count(*) FROM c) AS cases, count(*) AS cases_with_results, CAST(sum(found) AS BIGINT) AS results_found, CAST(sum(extracted) AS BIGINT) AS pages_extracted, CAST(sum(thin) AS BIGINT) AS thin_extractions, round(sum(extracted) / sum(found), 3) AS extraction_rate, CAST(floor(median(ms)) AS BIGINT) AS median_ms FROM d""")
+def benchmark_summary(spark, d):
+    of = lambda name: F.count_if(F.col("event_type") == name)
+    cases = events(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("found"), F.count_if(F.col("event_type") != "error").alias("extracted"), of("view").alias("thin"), (F.max("event_id") % 977).alias("elapsed_ms"))
+    return report.benchmark_summary(cases.withColumn("failed", F.col("user_id") % 7 == 0))
+
+
 # ---- pipelines ----
 
 

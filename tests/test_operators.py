@@ -301,3 +301,40 @@ def test_sweep_and_headlines(spark):
     assert [r.title for r in got if r.query_id == 1] == ["one", "two", "Fresh"] and [r.title for r in got if r.query_id == 3] == ["Alone"]
     rows, stages = search.search(queries, [pool.withColumns({"text": F.lit(""), "published": F.lit("")})], search.Options(prefer=("good.org",)), sweep=source, headlines=heads)
     assert "sweep" in stages and "headlines" in stages and "https://sub.good.org/m" in {r.url for r in rows.collect()}
+
+
+def test_embedding(spark):
+    import numpy as np
+
+    from millrace.operators import embedding
+
+    def load():
+        def model(texts):  # a token's state is its length and 1; padded to the longest text with noise
+            words = [x.split() for x in texts]
+            width = max(map(len, words), default=0) or 1
+            hidden, mask = np.full((len(texts), width, 2), 99.0), np.zeros((len(texts), width))
+            for k, own in enumerate(words):
+                for j, w in enumerate(own):
+                    hidden[k, j], mask[k, j] = (len(w), 1), 1
+            return hidden, mask
+
+        return model
+
+    rows = spark.createDataFrame([(1, "a bbb"), (2, "cc"), (3, ""), (4, None), *[(k, "a " * k) for k in range(5, 90)]], "id int, text string").repartition(2)
+    made = embedding.stored(rows, embedding.embedder(load), "stub").withColumn("raw", embedding.packed_bytes("vec"))
+    got = {r.id: r for r in corpus.unpacked(made.withColumnRenamed("vec", "before"), "raw").collect()}
+    side = 5**-0.5
+    assert np.allclose(got[1].vec, [2 * side, side]) and np.allclose(got[2].vec, got[1].vec)  # padding has no part
+    assert got[3].vec == [0.0, 0.0] == got[4].vec and all(np.allclose(got[k].vec, 0.5**0.5) for k in range(5, 90))
+    assert all(r.vec == r.before and len(r.raw) == 8 and r.model == "stub" for r in got.values())
+
+
+def test_summaries(spark):
+    scored = spark.createDataFrame([(1, 0.9, True), (1, 0.5, False), (2, 0.2, True), (2, 0.6, False), (2, 0.4, False), (3, 0.1, False), (4, 0.3, True)], "query_id int, score double, right boolean")
+    r = report.margins(scored).first()
+    assert abs(r.mrr - (1 + 1 / 3 + 0 + 1) / 4) < 1e-9 and r.acc1 == 0.5 and abs(r.margin - (0.4 - 0.4) / 2) < 1e-9
+    kind = "found int, extracted int, thin int, elapsed_ms int, failed boolean"
+    r = report.benchmark_summary(spark.createDataFrame([(4, 3, 1, 10, False), (0, 0, 0, 25, False), (9, 9, 9, 9, True)], kind)).first()
+    assert (r.cases, r.cases_with_results, r.results_found, r.pages_extracted, r.thin_extractions, r.extraction_rate, r.median_ms) == (3, 1, 4, 3, 1, 0.75, 17)
+    r = report.benchmark_summary(spark.createDataFrame([], kind)).first()
+    assert (r.cases, r.results_found, r.extraction_rate, r.median_ms) == (0, 0, 0.0, 0)
