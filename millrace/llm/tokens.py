@@ -64,13 +64,23 @@ class _Known(dict):
         return ids
 
 
+#: A text on which the shortcuts are tried: letters of all plain kinds, tails, cases, white space.
+PROBE = " ".join([*(f"{chr(a)}{chr(b)}{c}" for a, b, c in zip([*range(65, 91), *range(192, 215), *range(216, 247), *range(248, 256)], [*range(97, 123)] * 4, itertools.cycle([*".,!?;:|#$%&*", "", "!!", ".,"]))), "Straße  word\n\tWORD x1 don't ", "internationalisation"])
+
+
 class Encoder:
-    """ids as little-endian unsigned 32-bit bytes."""
+    """ids as little-endian unsigned 32-bit bytes.
+
+    A tokenizer file for which the shortcuts do not hold (one that merges across white space, keeps
+    case or normalises otherwise) is refused with a ValueError.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.cache = _Known(self.tokenizer, {"": b""})
+        if ids(self.encode([PROBE])[0]).tolist() != self.tokenizer.encode(PROBE, add_special_tokens=False).ids:
+            raise ValueError(f"{path}: parts between white space do not give the ids of the whole text")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.cache) > MOST_PARTS:

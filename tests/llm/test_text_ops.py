@@ -261,6 +261,88 @@ def test_language(spark):
     assert [language.suffix(h) for h in ("a.de", "a.de:80", "10.0.0.1", "host", "")] == ["de", "de", "", "", ""]
 
 
+def fused(rows, langs, without=()):
+    """Posteriors of evidence rows by plain loops; without: kinds of evidence left out."""
+    shares = []
+    for r in rows:
+        raised = np.exp(np.array(r.text) - max(r.text))
+        shares.append(raised / raised.sum())
+    shares, n = np.array(shares), len(langs)
+    corpus = (shares.sum(axis=0) + 1) / (shares.sum() + n)
+    kinds = sorted({r.declared for r in rows})
+    table = np.array([[sum(s[k] for r, s in zip(rows, shares, strict=True) if r.declared == kind) + language.DECLARED_WEIGHT * (1.0 if kind == langs[k] else 0.2) for k in range(n)] for kind in kinds])
+    table /= table.sum(axis=0)
+    out = []
+    for i, r in enumerate(rows):
+        near = [k for k, x in enumerate(rows) if x.suffix == r.suffix]
+        above = (shares[near].sum(axis=0) + language.SUFFIX_WEIGHT * corpus) / (len(near) + language.SUFFIX_WEIGHT)
+        own = [k for k, x in enumerate(rows) if x.host == r.host and k != i]
+        prior = (shares[own].sum(axis=0) + language.HOST_WEIGHT * above) / (len(own) + language.HOST_WEIGHT)
+        logits = np.zeros(n)
+        if "text" not in without:
+            logits += r.text
+        if "declared" not in without and r.declared:
+            logits += np.log(table[kinds.index(r.declared)])
+        if "prior" not in without:
+            logits += np.log(prior)
+        raised = np.exp(logits - logits.max())
+        out.append(raised / raised.sum())
+    return np.array(out)
+
+
+def test_fusion_equals_a_plain_way(spark):
+    """Each kind of evidence counts as stated, and changes the result of some page."""
+    rng = random.Random(12)
+    tongues = {"de": "der und das haus mit nicht", "en": "the and of house with that", "fr": "le et la maison avec que"}
+    text = lambda x, n: " ".join(rng.choice(tongues[x].split()) for _ in range(n))
+    docs = spark.createDataFrame([(k, text(x, 60), x) for k, x in enumerate(list(tongues) * 20)], DOCS + ", lang string")
+    pages = []
+    for k in range(90):  # hosts of one language each; markup that lies on every fifth page; some pages with little or no text
+        own = list(tongues)[k % 3]
+        told = "en" if k % 5 == 0 else own if k % 5 < 3 else ""
+        pages.append((k, f"https://h{k % 6}.{['de', 'org', 'fr'][k % 3]}/{k}", f"<html lang='{told}'><body><article>{text(own, [30, 30, 0, 1][k % 4])}</article>"))
+    for k in range(90, 130):  # a host of all languages, half its pages without text; and strays on a host of one language
+        own = list(tongues)[k % 3]
+        pages.append((k, f"https://mixed.com/{k}", f"<html lang='{own}'><body><article>{text(own, 30 * (k % 2))}</article>"))
+        pages.append((k + 100, f"https://h0.de/{k}", f"<html><body><article>{text('fr' if k % 4 == 0 else 'de', 30)}</article>"))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    langs, logs = language.model(docs)
+    rows = language.evidence(df, langs, logs).orderBy("page_id").collect()
+    want = fused(rows, langs)
+    got = language.identify(df, docs).orderBy("page_id").collect()
+    assert [r.lang for r in got] == [langs[k] for k in want.argmax(axis=1)]
+    assert np.allclose([r.posterior for r in got], want.max(axis=1), atol=2e-6)
+    for kind in ("text", "declared", "prior"):
+        assert (fused(rows, langs, {kind}).argmax(axis=1) != want.argmax(axis=1)).any(), kind
+
+
+def plain_statistics(text):
+    raw = text.encode()
+    n, share = len(raw), lambda chars: sum(b in chars for b in raw) / len(raw) if raw else 0.0
+    words = [x.lower() for x in re.findall(rb"[^\x20\x09-\x0D]+", raw)]
+    lines = [x for x in raw.split(b"\n") if x]
+    grams, counts, sizes = list(zip(words, words[1:], words[2:], strict=False)), Counter(words), [len(w) for w in words] or [0]
+    return [
+        *(share(c.encode()) for c in quality_model.CLASSES), share(range(128, 256)), np.log1p(n), np.log1p(len(words)), np.mean(sizes), np.log1p(max(sizes)),
+        len(counts) / len(words) if words else 1, max(counts.values()) / len(words) if words else 0, 1 - len(set(grams)) / len(grams) if len(words) > 3 else 0,
+        np.log1p(len(lines)), 1 - len({x.lower() for x in lines}) / len(lines) if lines else 0, np.log1p(n / len(lines)) if lines else 0, np.mean([x[-1:] in b".!?:;\"'" for x in lines]) if lines else 0,
+    ]
+
+
+def test_statistics_equal_a_plain_way():
+    import pyarrow as pa
+
+    from millrace.llm import scan
+
+    rng = random.Random(4)
+    texts = ["", " ", "\n\n", "one", "a b c", "A a A a A a.", "é🙂 x\n\ny!", *(" ".join(rng.choice(["The", "the", "b.", "\n", "C;\n", "naïve", "12", "(x)"]) for _ in range(rng.randrange(1, 90))) for _ in range(60))]
+    column = pa.array(["left out", *texts], pa.large_string()).slice(1)  # offsets that do not begin at 0
+    offsets, data = scan.buffers(column)
+    got = quality_model.statistics(offsets, data)
+    for row, text in zip(got, texts, strict=True):
+        assert np.allclose(row, plain_statistics(text)), text
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

@@ -31,6 +31,26 @@ def test_encoder(tokenizer, monkeypatch):
             assert tokens.ids(raw).tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids, text
 
 
+def test_other_tokenizers_are_refused():
+    for name in ("byte_bpe_50k.json",):
+        with pytest.raises(ValueError):
+            tokens.Encoder(public_tokenizers.path(name))
+
+
+def test_whole_tables_have_the_librarys_ids(spark, tokenizer):
+    encoder = tokens.Encoder(public_tokenizers.path(tokens.WORD_BPE))
+    for table, column in (("documents", "text"), ("pages", "html"), ("conversations", "text"), ("benchmark", "text")):
+        texts = [r[0] or "" for r in spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet").select(column).collect()]
+        for text, raw, want in zip(texts, encoder.encode(texts), tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert tokens.ids(raw).tolist() == want.ids, text[:80]
+
+
+def test_little_padding(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    r = packing.pack(docs).selectExpr("sum(length) as used", "max(sequence_id) + 1 as n").first()
+    assert r.n > 10 and r.used >= 0.98 * r.n * packing.CAPACITY
+
+
 def docs_of(spark):
     rows = [(k, t) for k, t in enumerate(ODD)] + [(100 + k, "some words here " * k) for k in range(40)] + [(7777, "word " * 9000)]
     random.Random(1).shuffle(rows)
