@@ -338,3 +338,24 @@ def test_summaries(spark):
     assert (r.cases, r.cases_with_results, r.results_found, r.pages_extracted, r.thin_extractions, r.extraction_rate, r.median_ms) == (3, 1, 4, 3, 1, 0.75, 17)
     r = report.benchmark_summary(spark.createDataFrame([], kind)).first()
     assert (r.cases, r.results_found, r.extraction_rate, r.median_ms) == (0, 0, 0.0, 0)
+
+
+def test_strikes_and_slots_over_many_hours(spark):
+    """Runs of refusals and queues that span hours equal a plain scan."""
+    import random
+
+    rng = random.Random(5)
+    log = [(t, rng.choice([None, *range(0, 40000, 700)]), k, rng.random() < 0.9) for k in range(300) for t in [rng.choice(["a", "b", None])]]
+    df = spark.createDataFrame(log, "tier string, s int, seq int, refused boolean").withColumn("ts", F.timestamp_seconds("s"))
+    got, now = {r.seq: r for r in tiers.strikes(df).collect()}, {}
+    for t, _, k, refused in sorted(log, key=lambda x: (x[1] is not None, x[1] or 0, x[2])):
+        now[t] = now.get(t, 0) + 1 if refused else 0
+        assert got[k].strikes == now[t] and (got[k].rest > 0) == refused, k
+    assert len(got) == 300 and max(r.strikes for r in got.values()) > 12 and tiers.strikes(df.limit(0)).count() == 0
+    asked = [(rng.choice(["x", "y", None]), float(rng.randrange(9000)), k) for k in range(400)] + [("x", 3500.0, k) for k in range(400, 3500)]
+    got = {r.seq: r.start for r in tiers.slots(spark.createDataFrame(asked, "domain string, arrival double, seq int")).collect()}
+    free = {}
+    for d, at, k in sorted(asked, key=lambda x: (x[1], x[2])):
+        start = max(at, free.get(d, 0.0))
+        free[d] = start + tiers.GAP
+        assert abs(got[k] - start) < 1e-6, k
