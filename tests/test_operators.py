@@ -359,3 +359,15 @@ def test_strikes_and_slots_over_many_hours(spark):
         start = max(at, free.get(d, 0.0))
         free[d] = start + tiers.GAP
         assert abs(got[k] - start) < 1e-6, k
+
+
+def test_rungs_can_be_replaced(spark):
+    def absent(html):
+        raise ImportError("no such library")
+
+    pages = spark.createDataFrame([("u", ARTICLE), ("v", "<p>tiny</p>" + " " * 300)], "url string, html string")
+    own = {"shout": lambda html: F.when(F.contains(html, F.lit("article")), F.repeat(F.lit("AB "), 100)).otherwise(""), **extract.RUNGS}
+    got = {r.url: r for r in extract.extract(pages, rungs=own).collect()}
+    assert got["u"].tier == "shout" and got["u"].text.startswith("AB AB") and not got["v"].ok and got["v"].reason == "no_prose"
+    assert extract.extract(pages, rungs={"floor": extract.floor_text}).filter("ok").first().tier == "floor"
+    assert extract.available({"absent": absent, **extract.RUNGS}) == {"absent": False, "density": True, "container": True, "floor": True}
