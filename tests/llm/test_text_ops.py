@@ -117,6 +117,64 @@ def test_toxicity(spark):
     assert toxicity.classify(docs.limit(0), labels).count() == 0
 
 
+def test_every_labelled_row_is_learnt_from(spark):
+    """Of 4,000 bad rows those with the largest hashes, and the longest, hold a word of their own."""
+    rng = random.Random(12)
+    ids = spark.range(5000, 9999).withColumnRenamed("id", "doc_id").filter(~labelled.held_out()).orderBy(F.xxhash64("doc_id", F.lit(17))).collect()
+    late = {r.doc_id for r in ids[3000:]}
+    text = lambda *more: " ".join([*rng.choices(CLEAN.split(), k=6), *more, *rng.choices(CLEAN.split(), k=3)])
+    docs = [(k, text(), "en") for k in range(3000)] + [(k, text("grobunk" if k in late else "vilespeak"), "en") for k in range(5000, 9999)]
+    labels = [(k, int(k >= 5000)) for k, _, _ in docs]
+    docs += [(20_000 + k, text("grobunk"), "en") for k in range(40)] + [(30_000 + k, text(), "en") for k in range(40)]
+    got = toxicity.classify(spark.createDataFrame(docs, DOCS + ", lang string"), spark.createDataFrame(labels, "doc_id long, toxic int")).filter("doc_id >= 20000").collect()
+    assert all(r.predicted == (r.doc_id < 30_000) for r in got)
+
+
+def test_long_texts_are_learnt_from(spark):
+    """All bad texts are longer than 128 KB, and some than the pieces that training searches."""
+    docs = [(k, (CLEAN + " ") * (8_000 if k == 100 else 1_700) + ("vilespeak" if k % 2 else ""), "en") for k in range(70, 130)] + [(k, CLEAN, "en") for k in range(40)]
+    labels = spark.createDataFrame([(k, k % 2 if k > 40 else 0) for k, _, _ in docs], "doc_id long, toxic int")
+    docs = spark.createDataFrame([*docs, (500, "the vilespeak cat", "en"), (501, "the cat", "en")], DOCS + ", lang string")
+    got = {r.doc_id: r.score for r in toxicity.scored(docs, toxicity.train(docs, labels)).filter("doc_id >= 500").collect()}
+    assert got[500] > 0.5 > got[501]
+
+
+def test_network_of_shards(spark, monkeypatch):
+    """Shards learn together, and neither partitions nor the way of the join change the network."""
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 200)
+    docs, labels = labelled_docs(spark, 900)
+    net = toxicity.train(docs, labels)
+    got = toxicity.classify(docs, labels).join(labels, "doc_id", "left").filter("held_out and toxic is not null").collect()
+    assert np.mean([r.predicted == r.toxic for r in got]) > 0.95
+    monkeypatch.setattr(labelled, "BROADCAST_ROWS", 10)
+    other = toxicity.train(docs.repartition(7), labels)
+    assert np.array_equal(net.table, other.table) and np.array_equal(net.out, other.out)
+    assert (net.bias, net.centre, net.scale, net.thresholds) == (other.bias, other.centre, other.scale, other.thresholds)
+
+
+def test_winners_by_pieces_equal_the_whole(monkeypatch):
+    rng = np.random.default_rng(7)
+    net = toxicity._fresh()
+    net.table[:] = rng.normal(0, 1, net.table.shape)
+    docs = [rng.integers(0, toxicity.BUCKETS, (n, toxicity.KINDS)).astype(np.uint16) for n in (0, 1, 2, 5, 60, 0, 3, 41)]
+    whole = [toxicity.winners(net, [d]) for d in docs]
+    for size in (1, 2, 7, 40, 1000):
+        monkeypatch.setattr(toxicity, "BATCH_TERMS", size)
+        got, want = toxicity.winners(net, docs), [np.concatenate(x) for x in zip(*whole, strict=True)]
+        assert np.allclose(got[0], want[0], atol=1e-4) and np.array_equal(got[2], want[2])
+        assert np.array_equal(got[1][got[2]], want[1][want[2]])
+    assert np.allclose(np.concatenate([w[0] for w in whole]), net.pool(np.concatenate(docs), np.cumsum([0, *map(len, docs)])), atol=1e-4)
+
+
+def test_cut_has_the_fewest_errors():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        cells, n = np.unique(rng.integers(-30, 30, rng.integers(1, 12))), 5
+        bad, good = rng.integers(0, n, len(cells)), rng.integers(0, n, len(cells))
+        errors = lambda cut: bad[cells / toxicity.CELLS < cut].sum() + good[cells / toxicity.CELLS >= cut].sum()  # noqa: B023, E731
+        assert errors(toxicity._cut(cells, bad, good)) == min(errors(x) for x in [*(cells / toxicity.CELLS), 9.0])
+
+
 def test_windows_end_with_their_row():
     rng = np.random.default_rng(5)
     net = toxicity._fresh()
