@@ -90,8 +90,16 @@ def forget(*tables: DataFrame | None) -> None:
 BROADCAST_ROWS = 100_000
 
 
+#: How many narrow rows a wide one, of packed signatures, counts for.
+WIDE = 8
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if it has no more than BROADCAST_ROWS rows, else as it is."""
+    """df with a broadcast hint if it has no more than BROADCAST_ROWS rows, else as it is.
+
+    One exchange takes the place of up to three, and the driver keeps a thread and its memory for a
+    minute after each.
+    """
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
@@ -117,8 +125,13 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], values:
     """rows joined to one row per key of ``groups`` (columns keys + values + group_size).
 
     The few hot groups (at most 1/HOT_SHARE of them) are broadcast; their rows are dealt out by
-    ``spread`` and meet nothing in the shuffle join that serves all other groups.
+    ``spread`` and meet nothing in the shuffle join that serves all other groups. Of no more than
+    BROADCAST_ROWS rows all groups are broadcast, in one exchange.
     """
+    if total <= BROADCAST_ROWS:
+        named = groups.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[F.col(v).alias(f"__v_{v}") for v in values])
+        met = rows.join(F.broadcast(named), [rows[k].eqNullSafe(named[f"__k{i}"]) for i, k in enumerate(keys)], how)
+        return met.select(*[c for c in rows.columns if c not in values], *[F.col(f"__v_{v}").alias(v) for v in values])
     hot = hot_groups(groups, total).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[F.col(v).alias(f"__h_{v}") for v in values], F.lit(True).alias("__hot"))
     cold = groups.filter(F.col("group_size") < F.lit(max(2, int(total * HOT_SHARE)))).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.lit(0).cast("long").alias("__spread"), *[F.col(v).alias(f"__c_{v}") for v in values], F.lit(True).alias("__cold"))
     on = lambda left, right: [left[k].eqNullSafe(right[f"__k{i}"]) for i, k in enumerate(keys)]

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import bloom, scan
-from ._spark import HOT_SHARE, forget, join_groups, new_folder, opened, small, staged
+from ._spark import BROADCAST_ROWS, HOT_SHARE, WIDE, forget, join_groups, new_folder, opened, small, staged
 from .components import components
 
 BANDS, ROWS, B = 32, 5, 2
@@ -360,12 +360,12 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     # a group has a number of its own: its smallest doc_id may stand in another group too
     groups = full.groupBy(*keys).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("group_size")).withColumn("rep", F.monotonically_increasing_id())
     groups = staged(groups, "groups", n_docs)
-    reps = groups.select("rep", F.col("least").alias("doc_id"), *[F.col(k).alias(f"own_{k}") for k in keys]).join(full, "doc_id").filter(" and ".join(f"{k} = own_{k}" for k in keys)).dropDuplicates(["rep"])
+    reps = small(groups.select("rep", F.col("least").alias("doc_id"), *[F.col(k).alias(f"own_{k}") for k in keys]), n_docs).join(full, "doc_id").filter(" and ".join(f"{k} = own_{k}" for k in keys)).dropDuplicates(["rep"])
     reps = staged(reps.select("rep", "doc_id", F.col("n_shingles").alias("n"), "k1", "k2", *SIGNATURE, "bands"), "reps", n_docs)
-    roots = groups.select("rep", "least").join(_links(spark, texts.drop("text_hash"), reps, width, percent), "rep")
+    roots = groups.select("rep", "least").join(small(_links(spark, texts.drop("text_hash"), reps, width, percent), n_docs), "rep")
     named = roots.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("group_size"))
     roots = join_groups(roots, named, ["component"], ["component_id"], n_docs, F.xxhash64("rep")).select("rep", "component_id")
-    groups = staged(groups.join(roots, "rep", "left").select(*keys, F.coalesce("component_id", "least").alias("component_id"), "group_size"), "named", n_docs)
+    groups = staged(groups.join(small(roots, n_docs), "rep", "left").select(*keys, F.coalesce("component_id", "least").alias("component_id"), "group_size"), "named", n_docs)
     out = join_groups(signed.select("doc_id", "text_hash", *keys), groups, keys, ["component_id"], n_docs, F.xxhash64("doc_id"))
     out = out.select("doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
@@ -385,7 +385,8 @@ def _links(spark, texts: DataFrame, reps: DataFrame, width: int, percent: int) -
     components. The last takes what is left, members of small buckets with each other and those of large
     ones by passage_pairs(). After the first round a pair is looked at in its first common bucket only.
     """
-    total = reps.count() * BANDS
+    n_reps = reps.count()
+    total = n_reps * BANDS
     members = reps.select("rep", F.posexplode("bands").alias("k", "band")).withColumn("component", F.col("rep"))
     found, sets, keyed, n_sets, last = None, None, None, 0, None
     for hubs_each in (1, 64, 0):
@@ -399,20 +400,22 @@ def _links(spark, texts: DataFrame, reps: DataFrame, width: int, percent: int) -
             return found
         if sets is None:
             n_sets = found.count()
-            wanted = staged(reps.select("rep", "doc_id", F.col("n").alias("size"), "k1", "k2").join(found.select("rep"), "rep"), "wanted", n_sets)
+            wanted = staged(reps.select("rep", "doc_id", F.col("n").alias("size"), "k1", "k2").join(small(found.select("rep"), n_sets), "rep"), "wanted", n_sets)
             sets = _stored(spark, texts, wanted, n_sets, width)
-            keyed = staged(sets.join(reps.select("rep", *[F.col("bands")[j].alias(b) for j, b in enumerate(BAND_KEYS)]), "rep").withColumnRenamed("size", "n"), "keyed", n_sets)
+            keyed = staged(small(sets, WIDE * n_sets).join(reps.select("rep", *[F.col("bands")[j].alias(b) for j, b in enumerate(BAND_KEYS)]), "rep").withColumnRenamed("size", "n"), "keyed", n_sets)
             forget(wanted)
         if hubs_each:  # of a cell the smallest component's first member
             sizes = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("rep"), F.first("held").alias("held"))
             hubs = sizes.groupBy("band", F.pmod(F.xxhash64("component"), F.lit(hubs_each)).alias("cell")).agg(F.min(F.struct("c", "rep", "component")).alias("hub"), F.first("held").alias("held"))
             hubs = staged(hubs.select("band", F.col("hub.rep").alias("hub"), F.col("hub.component").alias("hub_component"), "held"), "hubs", total)
-            pool = _near(hubs, members, total, reps.select("rep", "n", *SIGNATURE) if hubs_each == 1 else keyed, percent, hubs_each == 1)
+            pool = _near(hubs, members, total, *((reps, n_reps) if hubs_each == 1 else (keyed, n_sets)), percent, hubs_each == 1)
         else:
             few = members.filter(F.col("held") <= SMALL)
-            pool = _near(few.select("band", F.col("rep").alias("hub"), F.col("component").alias("hub_component"), "held"), few, None, keyed, percent, False, behind=True)
-            hot = members.filter(F.col("held") > SMALL).select("rep", "component").distinct().join(sets.select("rep", "path", "at", "size"), "rep")
-            pool = pool.unionByName(_estimated(passage_pairs(staged(hot, "hot", n_sets), percent), keyed, percent)).dropDuplicates(["a", "b"])
+            pool = _near(few.select("band", F.col("rep").alias("hub"), F.col("component").alias("hub_component"), "held"), few, total, keyed, n_sets, percent, False, behind=True)
+            hot = members.filter(F.col("held") > SMALL).select("rep", "component").distinct().join(small(sets.select("rep", "path", "at", "size"), 2 * n_sets), "rep")
+            hot = staged(hot, "hot", n_sets)
+            if not hot.isEmpty():
+                pool = pool.unionByName(_estimated(passage_pairs(hot, percent), keyed, percent)).dropDuplicates(["a", "b"])
         found = _decided(staged(pool, "pool", total), sets, found, percent, n_sets)
         if hubs_each:  # the hubs have met all members of their buckets and leave them
             rest = members.join(small(hubs.select("band", F.col("hub").alias("rep")), total), ["band", "rep"], "left_anti").select("rep", "k", "band")
@@ -420,15 +423,16 @@ def _links(spark, texts: DataFrame, reps: DataFrame, width: int, percent: int) -
     return found
 
 
-def _near(hubs: DataFrame, members: DataFrame, total: int | None, signed: DataFrame, percent: int, coarse: bool, behind: bool = False) -> DataFrame:
+def _near(hubs: DataFrame, members: DataFrame, total: int, signed: DataFrame, n_signed: int, percent: int, coarse: bool, behind: bool = False) -> DataFrame:
     """(a, b, ca, cb, guess) of hubs and members of a bucket with an estimate near the threshold.
 
     Hubs of hot buckets (at most 1/HOT_SHARE of them, up to 64 hubs each) are broadcast, so their members
-    stay where they are; total None: no bucket is hot. behind: only members behind the hub.
+    stay where they are; of few members, total in all, all hubs are. behind: only members behind the hub, and
+    no bucket is hot.
     """
     signature, bits, margin, own = (SIGNATURE, B, MARGIN, []) if coarse else (FINE_SIGNATURE, 1, FINE_MARGIN, BAND_KEYS)
-    signed = signed.select("rep", "n", *signature, *own)
-    hub_side = hubs.join(signed.withColumnsRenamed({"rep": "hub", "n": "hub_n"}), "hub")
+    signed = small(signed.select("rep", "n", *signature, *own), WIDE * n_signed)
+    hub_side = hubs.join(small(signed.withColumnsRenamed({"rep": "hub", "n": "hub_n"}), WIDE * n_signed), "hub")
     guess = estimate("h", "m", signature, bits)
     near = (F.col("h.band") == F.col("m.band")) & (F.col("h.hub_component") != F.col("m.component")) & (100 * F.least("h.hub_n", "m.n") >= percent * F.greatest("h.hub_n", "m.n")) & (guess >= percent / 100 - margin)
     if behind:
@@ -438,12 +442,13 @@ def _near(hubs: DataFrame, members: DataFrame, total: int | None, signed: DataFr
         for j in reversed(range(BANDS)):
             at = F.when(F.col(f"h.b{j}") == F.col(f"m.b{j}"), F.lit(j)).otherwise(at)
         near &= at == F.col("m.k")
-    cut = None if total is None else max(2, int(total * HOT_SHARE))
+    few = WIDE * total <= BROADCAST_ROWS
+    cut = None if behind or few else max(2, int(total * HOT_SHARE))
     out = None
     for hot in (None,) if cut is None else (True, False):
         part = lambda df, hot=hot: df if hot is None else df.filter(F.col("held") >= cut if hot else F.col("held") < cut)
         left = part(hub_side).drop("held").alias("h")
-        met = (F.broadcast(left) if hot else left).join(part(members).join(signed, "rep").alias("m"), near)
+        met = (F.broadcast(left) if hot or few else left).join(part(members).join(signed, "rep").alias("m"), near)
         turned = F.col("hub") > F.col("rep")
         rows = met.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"), F.when(turned, F.col("component")).otherwise(F.col("hub_component")).alias("ca"), F.when(turned, F.col("hub_component")).otherwise(F.col("component")).alias("cb"), guess.alias("guess"))
         out = rows if out is None else out.unionByName(rows)
@@ -500,7 +505,7 @@ def _stored(spark, texts: DataFrame, wanted: DataFrame, n: int, width: int) -> D
     words = spark.sparkContext.broadcast(bloom.build(wanted, "doc_id", n))
     rows = texts.mapInArrow(storer(width, words, new_folder(spark, "sets")), _PLACE + ", ".join(f"{x} long" for x in FINE_SIGNATURE))
     names = ["doc_id", "size", "k1", "k2"]  # one doc_id may have several texts
-    out = staged(rows.dropDuplicates(names).join(wanted, names).select("rep", "path", "at", "size", *FINE_SIGNATURE), "sets", n)
+    out = staged(rows.dropDuplicates(names).join(small(wanted, n), names).select("rep", "path", "at", "size", *FINE_SIGNATURE), "sets", n)
     words.unpersist()
     return out
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import bloom, components as components_module, exact_dedup, minhash, scan
+from millrace.llm import _spark, bloom, components as components_module, exact_dedup, minhash, scan
 from millrace.llm._spark import join_groups, shared_dir
 from millrace.llm.components import components
 
@@ -289,6 +289,32 @@ def test_join_groups_splits_hot_keys(spark):
     assert join_groups(rows, some, ["key", "other"], ["v"], 3000, F.xxhash64("id")).filter("v is null").count() == 2000
 
 
+def test_join_groups_of_few_rows_in_one_exchange(spark):
+    rows = spark.createDataFrame([(k, "hot" if k % 3 else str(k)) for k in range(3000)], "id long, key string").repartition(3)
+    groups = spark.createDataFrame([(k, f"{k}!", n) for k, n in [("hot", 2000), ("0", 1), ("3", 1)]], "key string, v string, group_size long")
+    for how, want in (("left", 3000), ("inner", 2002)):
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        out = join_groups(rows, groups, ["key"], ["v"], 3000, F.xxhash64("id"), how)
+        assert plan(out).count("Exchange") - plan(rows).count("Exchange") == 1
+        assert out.columns == ["id", "key", "v"] and out.count() == want and out.filter("v = concat(key, '!')").count() == 2002
+
+
+def test_large_tables_are_shuffled(spark, monkeypatch):
+    for module in (_spark, minhash, bloom):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", 0)
+    test_join_groups_splits_hot_keys(spark)
+    rows = passages(60, lambda k: k % 40)
+    got = minhash.classes(spark.createDataFrame(rows, DOCS).repartition(3), 4).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute(rows, 4)
+
+
+def test_without_large_buckets_no_shingles_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "passage_pairs", None)
+    rows = passages(60, lambda k: k % 40)
+    got = minhash.classes(spark.createDataFrame(rows, DOCS).repartition(3), 4).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute(rows, 4)
+
+
 def test_a_cluster_needs_a_shared_folder():
     class Conf(dict):
         def getConf(self):
