@@ -10,9 +10,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 import pyarrow.fs
+import pyarrow.parquet
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -63,6 +65,10 @@ def remove(spark: SparkSession, path: str) -> None:
 FILE_ROWS = 200_000
 
 
+def _files(spark: SparkSession, rows: int) -> int:
+    return max(2 * spark.sparkContext.defaultParallelism, rows // FILE_ROWS)
+
+
 def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends, lost executors cost nothing.
 
@@ -72,13 +78,80 @@ def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     if rows is not None:
-        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, rows // FILE_ROWS))
+        df = df.coalesce(_files(spark, rows))
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
 
 
+#: Types that written() writes as Spark reads them.
+_PLAIN = {"bigint", "int", "double", "boolean", "string", "array<bigint>"}
+#: Bytes of Arrow batches that written() gathers into one row group.
+GROUP_BYTES = 8 << 20
+
+
+#: Spark removes an execution's shuffle files when it ends, and not when the driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _writer(path: str, made=None):
+    """Write a task's rows, or those that made() makes of them, to one hidden file of its own below path;
+    a row names it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, folder = opened(path)
+        name, out, held, total = f"_{uuid.uuid4().hex}.parquet", None, [], 0
+        for batch in made(batches) if made else batches:
+            if not len(batch):
+                continue
+            out = out or pyarrow.parquet.ParquetWriter(f"{folder}/{name}", batch.schema, filesystem=files)
+            held.append(batch)
+            total += batch.nbytes
+            if total >= GROUP_BYTES:
+                out.write_table(pa.Table.from_batches(held))
+                held, total = [], 0
+        if out is not None:
+            if held:
+                out.write_table(pa.Table.from_batches(held))
+            out.close()
+            yield pa.RecordBatch.from_pydict({"name": [name]})
+
+    return run
+
+
+def written(df: DataFrame, name: str, rows: int | None = None, made=None, schema: str | None = None) -> DataFrame:
+    """staged() for narrow rows, by Python workers where the shared folder is a plain one.
+
+    made, schema: as for mapInArrow(), of which the rows are written by the worker that makes them.
+    There Hadoop's client starts two ``chmod`` processes for every file that it makes, and each counts with
+    all the memory of the executor's JVM until its program runs. Files are hidden until their task has
+    succeeded, so what a failed or doubled attempt leaves is not read. Other stores and types go by staged().
+    """
+    spark = df.sparkSession
+    out = df.mapInArrow(made, schema) if made else df
+    path = new_folder(spark, name)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    local = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme() == "file"
+    if not local or not {kind for _, kind in out.dtypes} <= _PLAIN:
+        return staged(out, name, rows)
+    if rows is not None:
+        df = df.coalesce(_files(spark, rows))
+    files, folder = opened(path)
+    files.create_dir(folder, recursive=True)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        names = df.mapInArrow(_writer(path, made), "name string").collect()
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    for row in names:
+        files.move(f"{folder}/{row.name}", f"{folder}/part-{row.name[1:]}")
+    out = spark.read.schema(out.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
 def forget(*tables: DataFrame | None) -> None:
     """Delete the files of staged tables, once everything that was made of them is staged itself."""
     for df in tables:

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ._spark import forget, join_groups, staged
+from ._spark import forget, join_groups, written
 
 #: So many links are no matter for one task; counted before that way is taken.
 FEW = 200_000
@@ -52,13 +52,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rows: int | None =
     """
     edges = links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     if rows is None:
-        edges = staged(edges.distinct(), "edges")
+        edges = written(edges.distinct(), "edges")
         rows = edges.count()
     if rows <= FEW:
-        out = staged(edges.coalesce(1).mapInPandas(_joined, "node long, component long"), "components", rows)
+        out = written(edges.coalesce(1).mapInPandas(_joined, "node long, component long"), "components", rows)
         forget(edges)
         return out
-    edges, state = staged(edges.distinct(), "edges", rows), None
+    edges, state = written(edges.distinct(), "edges", rows), None
     while True:
         n, mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if n == 0 or (n, mark) == state:
@@ -68,5 +68,5 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rows: int | None =
         large = _nearest(both, 2 * n).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         near = _nearest(large, n)
         small = near.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v"))).distinct()
-        last, edges = edges, staged(small, "edges", n)
+        last, edges = edges, written(small, "edges", n)
         forget(last)

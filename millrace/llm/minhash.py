@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import bloom, scan
-from ._spark import BROADCAST_ROWS, HOT_SHARE, WIDE, forget, join_groups, new_folder, opened, small, staged
+from ._spark import BROADCAST_ROWS, HOT_SHARE, WIDE, forget, join_groups, new_folder, opened, small, written
 from .components import components
 
 BANDS, ROWS, B = 32, 5, 2
@@ -295,19 +295,19 @@ def passage_pairs(hot: DataFrame, percent: int) -> DataFrame:
     """
     places = hot.select("rep", "path", "at", "size")
     counts = places.mapInArrow(_tallied, "x long, c long").groupBy("x").agg(F.sum("c").alias("c")).filter(F.col("c") > LIGHT)
-    counts, own = staged(counts, "frequent"), None
+    counts, own = written(counts, "frequent"), None
     if (n := counts.count()) <= MOST_FREQUENT:
         known = counts.orderBy("x").toArrow()
         own = hot.sparkSession.sparkContext.broadcast([known.column(k).to_numpy() for k in range(2)])
-        first = hot.select("rep", "component", "path", "at", "size").mapInArrow(prefixes(percent, own), _FIRST)
+        first, order = hot.select("rep", "component", "path", "at", "size"), prefixes(percent, own)
     else:
         rows = places.mapInArrow(_shingles, "rep long, x long")
         total = hot.agg(F.sum("size")).first()[0]
         frequent = counts.withColumn("group_size", F.col("c"))
         heavy = join_groups(rows, frequent, ["x"], ["c"], total, F.xxhash64("rep"), "inner").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("heavy"))
         first = hot.join(heavy, "rep", "left").select("rep", "component", "path", "at", "size", F.transform("heavy", lambda h: h["x"]).alias("heavy"))
-        first = first.mapInArrow(prefixes(percent), _FIRST)
-    first = prefix = staged(first, "prefixes")
+        order = prefixes(percent)
+    first = prefix = written(first, "prefixes", None, order, _FIRST)
     n = first.count()
     # of each shingle the component with most rows is its lead: its rows need not meet each other
     state = first.groupBy("x", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("x").agg(F.max(F.struct("c", "component"))["component"].alias("lead"), F.count(F.lit(1)).alias("several"), F.sum("c").alias("group_size"))
@@ -319,7 +319,7 @@ def passage_pairs(hot: DataFrame, percent: int) -> DataFrame:
     met = s.join(y, (F.col("s.x") == F.col("y.x")) & (F.col("s.meets") == F.col("y.leads")) & (F.col("s.component") != F.col("y.component")) & ordered & (100 * F.col("s.n") >= percent * F.col("y.n")) & room)
     turned = F.col("s.rep") > F.col("y.rep")
     pairs = met.select(F.least("s.rep", "y.rep").alias("a"), F.greatest("s.rep", "y.rep").alias("b"), F.when(turned, F.col("y.component")).otherwise(F.col("s.component")).alias("ca"), F.when(turned, F.col("s.component")).otherwise(F.col("y.component")).alias("cb"))
-    out = staged(pairs.dropDuplicates(["a", "b"]), "pairs")
+    out = written(pairs.dropDuplicates(["a", "b"]), "pairs")
     forget(counts, prefix)
     if own is not None:
         own.unpersist()
@@ -353,19 +353,19 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """classes() with text_hash, which tells the texts of one doc_id apart."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).filter("doc_id is not null")
-    signed = staged(texts.mapInArrow(signer(width), _SIGNED), "signed")
+    signed = written(texts, "signed", None, signer(width), _SIGNED)
     keys = ["n_shingles", "k1", "k2"]
     n_docs = signed.count()
     full = signed.filter("n_shingles > 0").drop("text_hash")
     # a group has a number of its own: its smallest doc_id may stand in another group too
     groups = full.groupBy(*keys).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("group_size")).withColumn("rep", F.monotonically_increasing_id())
-    groups = staged(groups, "groups", n_docs)
+    groups = written(groups, "groups", n_docs)
     reps = small(groups.select("rep", F.col("least").alias("doc_id"), *[F.col(k).alias(f"own_{k}") for k in keys]), n_docs).join(full, "doc_id").filter(" and ".join(f"{k} = own_{k}" for k in keys)).dropDuplicates(["rep"])
-    reps = staged(reps.select("rep", "doc_id", F.col("n_shingles").alias("n"), "k1", "k2", *SIGNATURE, "bands"), "reps", n_docs)
+    reps = written(reps.select("rep", "doc_id", F.col("n_shingles").alias("n"), "k1", "k2", *SIGNATURE, "bands"), "reps", n_docs)
     roots = groups.select("rep", "least").join(small(_links(spark, texts.drop("text_hash"), reps, width, percent), n_docs), "rep")
     named = roots.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("group_size"))
     roots = join_groups(roots, named, ["component"], ["component_id"], n_docs, F.xxhash64("rep")).select("rep", "component_id")
-    groups = staged(groups.join(small(roots, n_docs), "rep", "left").select(*keys, F.coalesce("component_id", "least").alias("component_id"), "group_size"), "named", n_docs)
+    groups = written(groups.join(small(roots, n_docs), "rep", "left").select(*keys, F.coalesce("component_id", "least").alias("component_id"), "group_size"), "named", n_docs)
     out = join_groups(signed.select("doc_id", "text_hash", *keys), groups, keys, ["component_id"], n_docs, F.xxhash64("doc_id"))
     out = out.select("doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
@@ -374,7 +374,7 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
 def keep(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each class, all columns as they are: that with the smallest doc_id; rows without a
     doc_id stay."""
-    gone = staged(_classes(docs, width, percent).filter(~F.col("kept")).select("doc_id", F.col("text_hash").alias("mark")).distinct(), "gone")
+    gone = written(_classes(docs, width, percent).filter(~F.col("kept")).select("doc_id", F.col("text_hash").alias("mark")).distinct(), "gone")
     return bloom.rows_left(docs, gone, F.xxhash64("text"), gone.count())
 
 
@@ -391,32 +391,32 @@ def _links(spark, texts: DataFrame, reps: DataFrame, width: int, percent: int) -
     found, sets, keyed, n_sets, last = None, None, None, 0, None
     for hubs_each in (1, 64, 0):
         state = members.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("group_size")).filter("lo < hi")
-        members = staged(join_groups(members, state.withColumn("held", F.col("group_size")), ["band"], ["held"], total, F.xxhash64("rep"), "inner"), "members", total)
+        members = written(join_groups(members, state.withColumn("held", F.col("group_size")), ["band"], ["held"], total, F.xxhash64("rep"), "inner"), "members", total)
         forget(last)
         total, last = members.count(), members
         if found is None:
-            found = staged(members.select("rep", "component").distinct(), "components", total)
+            found = written(members.select("rep", "component").distinct(), "components", total)
         if not total:
             return found
         if sets is None:
             n_sets = found.count()
-            wanted = staged(reps.select("rep", "doc_id", F.col("n").alias("size"), "k1", "k2").join(small(found.select("rep"), n_sets), "rep"), "wanted", n_sets)
+            wanted = written(reps.select("rep", "doc_id", F.col("n").alias("size"), "k1", "k2").join(small(found.select("rep"), n_sets), "rep"), "wanted", n_sets)
             sets = _stored(spark, texts, wanted, n_sets, width)
-            keyed = staged(small(sets, WIDE * n_sets).join(reps.select("rep", *[F.col("bands")[j].alias(b) for j, b in enumerate(BAND_KEYS)]), "rep").withColumnRenamed("size", "n"), "keyed", n_sets)
+            keyed = written(small(sets, WIDE * n_sets).join(reps.select("rep", *[F.col("bands")[j].alias(b) for j, b in enumerate(BAND_KEYS)]), "rep").withColumnRenamed("size", "n"), "keyed", n_sets)
             forget(wanted)
         if hubs_each:  # of a cell the smallest component's first member
             sizes = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("rep"), F.first("held").alias("held"))
             hubs = sizes.groupBy("band", F.pmod(F.xxhash64("component"), F.lit(hubs_each)).alias("cell")).agg(F.min(F.struct("c", "rep", "component")).alias("hub"), F.first("held").alias("held"))
-            hubs = staged(hubs.select("band", F.col("hub.rep").alias("hub"), F.col("hub.component").alias("hub_component"), "held"), "hubs", total)
+            hubs = written(hubs.select("band", F.col("hub.rep").alias("hub"), F.col("hub.component").alias("hub_component"), "held"), "hubs", total)
             pool = _near(hubs, members, total, *((reps, n_reps) if hubs_each == 1 else (keyed, n_sets)), percent, hubs_each == 1)
         else:
             few = members.filter(F.col("held") <= SMALL)
             pool = _near(few.select("band", F.col("rep").alias("hub"), F.col("component").alias("hub_component"), "held"), few, total, keyed, n_sets, percent, False, behind=True)
             hot = members.filter(F.col("held") > SMALL).select("rep", "component").distinct().join(small(sets.select("rep", "path", "at", "size"), 2 * n_sets), "rep")
-            hot = staged(hot, "hot", n_sets)
+            hot = written(hot, "hot", n_sets)
             if not hot.isEmpty():
                 pool = pool.unionByName(_estimated(passage_pairs(hot, percent), keyed, percent)).dropDuplicates(["a", "b"])
-        found = _decided(staged(pool, "pool", total), sets, found, percent, n_sets)
+        found = _decided(written(pool, "pool", total), sets, found, percent, n_sets)
         if hubs_each:  # the hubs have met all members of their buckets and leave them
             rest = members.join(small(hubs.select("band", F.col("hub").alias("rep")), total), ["band", "rep"], "left_anti").select("rep", "k", "band")
             members = rest.join(small(found, n_sets), "rep")
@@ -484,11 +484,11 @@ def _decided(pool: DataFrame, sets: DataFrame, found: DataFrame, percent: int, n
             pick = pool.groupBy("ca", cell).agg(best).select("best.*").unionByName(pool.groupBy("cb", cell).agg(best).select("best.*")).dropDuplicates(["a", "b"])
         tested = _confirmed(sets, pick.drop("guess"), percent, waiting, n_sets)
         moved = components(tested.filter("linked"), "ca", "cb", waiting)
-        before, found = found, staged(_moved(found, moved, "component", waiting), "components", n_sets)
+        before, found = found, written(_moved(found, moved, "component", waiting), "components", n_sets)
         old = (before, tested, moved, pool)
         if pick is not pool:
             rest = _moved(_moved(pool.join(tested.select("a", "b"), ["a", "b"], "left_anti"), moved, "ca", waiting), moved, "cb", waiting)
-            pool, picked = staged(rest.filter("ca <> cb"), "pool", waiting), picked * 32
+            pool, picked = written(rest.filter("ca <> cb"), "pool", waiting), picked * 32
         forget(*old)
         if pick is old[3]:
             break
@@ -505,7 +505,7 @@ def _stored(spark, texts: DataFrame, wanted: DataFrame, n: int, width: int) -> D
     words = spark.sparkContext.broadcast(bloom.build(wanted, "doc_id", n))
     rows = texts.mapInArrow(storer(width, words, new_folder(spark, "sets")), _PLACE + ", ".join(f"{x} long" for x in FINE_SIGNATURE))
     names = ["doc_id", "size", "k1", "k2"]  # one doc_id may have several texts
-    out = staged(rows.dropDuplicates(names).join(small(wanted, n), names).select("rep", "path", "at", "size", *FINE_SIGNATURE), "sets", n)
+    out = written(rows.dropDuplicates(names).join(small(wanted, n), names).select("rep", "path", "at", "size", *FINE_SIGNATURE), "sets", n)
     words.unpersist()
     return out
 
@@ -515,4 +515,4 @@ def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int, rows: int, n_set
     for end in "ab":
         place = sets.select(F.col("rep").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in ("path", "at", "size")])
         pairs = pairs.join(small(place, 2 * n_sets), end)
-    return staged(pairs.mapInArrow(confirmer(percent), "a long, b long, ca long, cb long, linked boolean"), "tested", rows)
+    return written(pairs, "tested", rows, confirmer(percent), "a long, b long, ca long, cb long, linked boolean")

@@ -1,12 +1,15 @@
 """Exact and near deduplication, components, Bloom filter, skew-proof joins."""
 
 import hashlib
+import os
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrameWriter, functions as F
 
 from millrace.llm import _spark, bloom, components as components_module, exact_dedup, minhash, scan
 from millrace.llm._spark import join_groups, shared_dir
@@ -315,6 +318,51 @@ def test_without_large_buckets_no_shingles_are_joined(spark, monkeypatch):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute(rows, 4)
 
 
+@pytest.mark.parametrize("n", [0, 1, 5000])
+def test_written_tables_come_back(spark, tmp_path, monkeypatch, n):
+    monkeypatch.setattr(_spark, "new_folder", lambda spark, name: f"file://{tmp_path}/{name}")
+    lost = pa.RecordBatch.from_pydict({"a": [-1]})
+    (tmp_path / "some").mkdir()
+    list(_spark._writer(f"file://{tmp_path}/some")(iter([lost])))  # of an attempt that no one heard of
+    rows = [(k, k % 7 if k % 3 else None, k % 2 == 0, k / 3, f"é{k}" if k % 5 else None, [k, None] if k % 4 else None) for k in range(n)]
+    df = spark.createDataFrame(rows, "a long, b int, c boolean, d double, e string, f array<long>").repartition(7)
+    for count in (None, n):
+        out = _spark.written(df.filter("a % 11 <> 3"), "some" if count is None else "counted", count)
+        assert out.dtypes == df.dtypes
+        assert sorted(tuple(r) for r in out.collect()) == [x for x in rows if x[0] % 11 != 3]
+    assert not [x for x in tmp_path.rglob("*") if x.suffix == ".crc" or x.name == "_SUCCESS"]  # Spark's writer makes these
+    assert spark.conf.get(_spark._CLEANUP) == "false"  # as it was
+    odd = _spark.written(df.select("a", F.struct("b", "d").alias("s")), "odd")
+    assert (tmp_path / "odd" / "_SUCCESS").exists() and odd.count() == n
+    _spark.forget(out)
+    assert not (tmp_path / "counted").exists()
+
+
+def test_written_in_row_groups(spark, monkeypatch):
+    monkeypatch.setattr(_spark, "GROUP_BYTES", 1 << 10)
+    batch = pa.RecordBatch.from_pydict({"a": list(range(1000))})
+    path = _spark.new_folder(spark, "groups").removeprefix("file://")
+    os.makedirs(path)
+    (made,) = _spark._writer(path)(iter([batch, batch.slice(0, 0), batch.slice(0, 10)]))
+    file = pq.ParquetFile(f"{path}/{made['name'][0].as_py()}")
+    assert file.num_row_groups == 2 and file.read()["a"].to_pylist() == [*range(1000), *range(10)]
+    assert not list(_spark._writer(path)(iter([batch.slice(0, 0)])))
+
+
+def test_near_copies_without_files_of_the_hadoop_client(spark, monkeypatch):
+    def refused(*a, **k):
+        raise AssertionError("a file for which the executor starts processes")
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", refused)
+    monkeypatch.setattr(minhash, "SMALL", 4)
+    rows = passages(60, lambda k: k % 40)
+    got = minhash.classes(spark.createDataFrame(rows, DOCS).repartition(3), 4).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute(rows, 4)
+    monkeypatch.setattr(components_module, "FEW", 0)
+    linked = components(spark.createDataFrame([(k, k + 1) for k in range(1, 30)], "a long, b long"))
+    assert {tuple(r) for r in linked.collect()} == {(k, 1) for k in range(2, 31)}
+
+
 def test_a_cluster_needs_a_shared_folder():
     class Conf(dict):
         def getConf(self):
