@@ -11,6 +11,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.fs
@@ -91,6 +92,8 @@ _PLAIN = {"bigint", "int", "double", "boolean", "string", "array<bigint>"}
 GROUP_BYTES = 8 << 20
 
 
+#: False: written() is staged().
+BY_WORKERS = ContextVar("by_workers", default=True)
 #: Spark removes an execution's shuffle files when it ends, and not when the driver collects garbage.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -126,14 +129,15 @@ def written(df: DataFrame, name: str, rows: int | None = None, made=None, schema
     made, schema: as for mapInArrow(), of which the rows are written by the worker that makes them.
     There Hadoop's client starts two ``chmod`` processes for every file that it makes, and each counts with
     all the memory of the executor's JVM until its program runs. Files are hidden until their task has
-    succeeded, so what a failed or doubled attempt leaves is not read. Other stores and types go by staged().
+    succeeded, so what a failed or doubled attempt leaves is not read. Other stores and types go by staged(), as does
+    everything while BY_WORKERS is False.
     """
     spark = df.sparkSession
     out = df.mapInArrow(made, schema) if made else df
     path = new_folder(spark, name)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     local = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme() == "file"
-    if not local or not {kind for _, kind in out.dtypes} <= _PLAIN:
+    if not BY_WORKERS.get() or not local or not {kind for _, kind in out.dtypes} <= _PLAIN:
         return staged(out, name, rows)
     if rows is not None:
         df = df.coalesce(_files(spark, rows))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import bloom, scan
-from ._spark import BROADCAST_ROWS, HOT_SHARE, WIDE, forget, join_groups, new_folder, opened, small, written
+from ._spark import BROADCAST_ROWS, BY_WORKERS, HOT_SHARE, WIDE, forget, join_groups, new_folder, opened, small, written
 from .components import components
 
 BANDS, ROWS, B = 32, 5, 2
@@ -373,8 +373,15 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 def keep(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each class, all columns as they are: that with the smallest doc_id; rows without a
-    doc_id stay."""
-    gone = written(_classes(docs, width, percent).filter(~F.col("kept")).select("doc_id", F.col("text_hash").alias("mark")).distinct(), "gone")
+    doc_id stay.
+
+    Its tables go by staged(): executors that have run other stages were at the limit of their memory with written().
+    """
+    token = BY_WORKERS.set(False)
+    try:
+        gone = written(_classes(docs, width, percent).filter(~F.col("kept")).select("doc_id", F.col("text_hash").alias("mark")).distinct(), "gone")
+    finally:
+        BY_WORKERS.reset(token)
     return bloom.rows_left(docs, gone, F.xxhash64("text"), gone.count())
 
 

@@ -363,6 +363,14 @@ def test_near_copies_without_files_of_the_hadoop_client(spark, monkeypatch):
     assert {tuple(r) for r in linked.collect()} == {(k, 1) for k in range(2, 31)}
 
 
+def test_keep_writes_by_spark(spark, monkeypatch):
+    monkeypatch.setattr(_spark, "_writer", None)
+    rows = passages(60, lambda k: k % 40)
+    got = {r.doc_id for r in minhash.keep(spark.createDataFrame(rows, DOCS).repartition(3), 4).collect()}
+    assert got == {doc_id for doc_id, _, least in brute(rows, 4) if doc_id == least}
+    assert _spark.BY_WORKERS.get()
+
+
 def test_a_cluster_needs_a_shared_folder():
     class Conf(dict):
         def getConf(self):
